@@ -6,22 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import media, mixing
-from skein.llm.common import read_table
+from skein.llm import decontaminate, langid, media, mixing, quality, toxicity
+from skein.llm.common import crc_remainder, read_table
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), crc_remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model)
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), crc_remainder("doc_id", 3) != 1)
+    return quality.score(docs, model)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs, crc_remainder("doc_id", 4) != 2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_toxicity": op2_toxicity,
+    "op4_line_quality": op4_line_quality,
     "op6_mix_sources": op6_mix_sources,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL}
