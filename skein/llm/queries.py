@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, langid, media, mixing, quality, toxicity
+from skein.llm import decontaminate, langid, media, mixing, neardup, quality, toxicity
 from skein.llm.common import crc_remainder, read_table
 
 
@@ -26,6 +26,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_toxicity": op2_toxicity,
     "op4_line_quality": op4_line_quality,
+    "op5_minhash": op5_minhash,
     "op6_mix_sources": op6_mix_sources,
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
