@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, langid, media, mixing, neardup, quality, toxicity
+from skein.llm import decontaminate, langid, media, mixing, neardup, quality, substring, toxicity
 from skein.llm.common import crc_remainder, read_table
 
 
@@ -20,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), crc_remainder("doc_id", 3) != 1)
@@ -47,6 +53,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_toxicity": op2_toxicity,
+    "op3_repeated_windows": op3_repeated_windows,
     "op4_line_quality": op4_line_quality,
     "op5_minhash": op5_minhash,
     "op6_mix_sources": op6_mix_sources,
