@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, langid, media, mixing, neardup, quality, substring, toxicity
+from skein.llm import decontaminate, langid, licenses, media, mixing, neardup, quality, secrets, substring, toxicity
 from skein.llm.common import crc_remainder, read_table
 
 
@@ -50,6 +50,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs, crc_remainder("doc_id", 4) != 2))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_toxicity": op2_toxicity,
@@ -57,8 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_quality": op4_line_quality,
     "op5_minhash": op5_minhash,
     "op6_mix_sources": op6_mix_sources,
+    "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL}
