@@ -159,13 +159,18 @@ def resample(df: DataFrame, order: str = "row_id", seed: int = 0, buckets: int =
     """As many rows as there are, drawn with replacement by weight: a draw is a uniform number on the summed weights.
 
     Summed weights are made in two levels (hash buckets, then rows of a bucket), so no window holds the whole table.
+    A draw meets its row by a grid over the sums: both sides are keyed by cell, and there are as many cells as an
+    eighth of the rows, so the join stays linear.
     """
     weighted = resample_weights(df, **options).withColumn("__b", F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(buckets)))
-    sums = weighted.groupBy("__b").agg(F.sum("weight").alias("__w"), F.count("*").alias("__n"))
+    sums = weighted.groupBy("__b").agg(F.sum("weight").alias("__w"))
     along = Window.orderBy("__b")
-    edges = sums.select("__b", (F.sum("__w").over(along) - F.col("__w")).alias("__from"), F.sum("__w").over(along).alias("__to"), F.sum("__w").over(Window.partitionBy()).alias("__all"))
+    edges = sums.select("__b", (F.sum("__w").over(along) - F.col("__w")).alias("__from"), F.sum("__w").over(Window.partitionBy()).alias("__all"))
     inside = Window.partitionBy("__b").orderBy(order)
-    rows = weighted.join(F.broadcast(edges), "__b").withColumn("__high", F.col("__from") + F.sum("weight").over(inside)).withColumn("__low", F.col("__high") - F.col("weight"))
-    draws = df.select((F.rand(seed)).alias("__u")).crossJoin(F.broadcast(edges)).filter("__u * __all >= __from AND __u * __all < __to").select("__b", (F.col("__u") * F.col("__all")).alias("__at"))
-    drawn = draws.join(rows, "__b").filter("__at >= __low AND __at < __high")
+    high = (F.col("__from") + F.sum("weight").over(inside)) / F.col("__all")
+    cells = max(buckets, df.count() // 8)
+    rows = weighted.join(F.broadcast(edges), "__b").withColumn("__high", high).withColumn("__low", F.col("__high") - F.col("weight") / F.col("__all"))
+    covered = F.sequence(F.greatest(F.floor(F.col("__low") * cells), F.lit(0)), F.floor(F.col("__high") * cells))
+    draws = df.select(F.rand(seed).alias("__u")).withColumn("__cell", F.floor(F.col("__u") * cells))
+    drawn = draws.join(rows.withColumn("__cell", F.explode(covered)), "__cell").filter("__u >= __low AND __u < __high")
     return drawn.select(*df.columns)

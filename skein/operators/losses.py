@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.masked import aggregate_loss, clip, column, masked_mean
+from skein.operators import corrections
+from skein.operators.masked import aggregate_loss, clip, column, kl_estimate, masked_mean
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -198,3 +199,17 @@ def adaptive_coefficient(steps: DataFrame, start: float, target: float, horizon:
     factor = 1 + clip(F.col(kl) / target - 1, -0.2, 0.2) * F.col(n) / horizon
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.withColumn("coef", F.lit(float(start)) * F.exp(F.sum(F.log(factor)).over(w))).select(order, "coef")
+
+
+def reverse_kl(df: DataFrame, teacher: str = "ref_lp", kind: str = "k1", mode: str = "token-mean") -> DataFrame:
+    """The distillation loss that estimates the reverse KL to a teacher from sampled tokens."""
+    return aggregate_loss(df, kl_estimate("lp", teacher, kind), mode)
+
+
+def bypass_loss(df: DataFrame, *, level: str = "token", threshold: float | str = 2.0, options: str | None = None, thresholds=None, mode: str = "seq-mean-token-sum", loss: str = "reinforce") -> DataFrame:
+    """A loss with the rollout policy in place of the old one: weights and rejection come from lp - roll_lp."""
+    rows = corrections.bypass(df).withColumn("log_ratio", F.col("lp") - F.col("roll_lp"))
+    rows = corrections.weights(rows, level, threshold)
+    if options:
+        rows = corrections.reject(rows, options, thresholds, "__kept").withColumn("mask", F.col("__kept"))
+    return policy_loss(loss, rows, mode=mode, weights="is_weight")

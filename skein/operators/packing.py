@@ -156,10 +156,12 @@ def inverse(df: DataFrame, position: str, index: str) -> DataFrame:
 
 
 def imbalance(df: DataFrame, length: str, part: str, parts: int, order: str = "row_id") -> DataFrame:
-    """One row: least, most and mean tokens of contiguous blocks before, and of the parts after."""
-    n = Window.partitionBy()
-    block = F.floor((F.row_number().over(Window.orderBy(order)) - 1) * parts / F.count("*").over(n))
-    rows = df.withColumn("__block", block)
+    """One row: least, most and mean tokens of contiguous blocks before, and of the parts after.
+
+    ``order`` counts the rows from 0, so a block is arithmetic on it.
+    """
+    size = df.agg(F.count("*").alias("__n"))
+    rows = df.crossJoin(F.broadcast(size)).withColumn("__block", F.floor(F.col(order) * parts / F.col("__n")))
     sides = []
     for column, name in (("__block", "before"), (part, "after")):
         per = rows.groupBy(column).agg(F.sum(length).alias("t"))

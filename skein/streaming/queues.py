@@ -64,7 +64,10 @@ class CountWindow(StatefulProcessor):
         while len(held) >= self.size:
             out += [(key[0], batch, s, p) for s, p in held[: self.size]]
             held, batch = held[self.size :], batch + 1
-        self.items.put(held)
+        if held:
+            self.items.put(held)
+        else:
+            self.items.clear()
         self.done.update((batch,))
         if out:
             yield pd.DataFrame(out, columns=["uid", "batch", "seq", "payload"])

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return "null"
     if isinstance(value, bool) or type(value).__name__ == "bool":
         return str(bool(value))
