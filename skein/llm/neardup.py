@@ -30,17 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpointed, shingles, text_bytes, word_hashes
+from skein.llm.common import checkpointed, mix64, shingles, text_bytes, word_hashes
 
 COORDINATES, MATCHES = 64, 38
 PREFIX = COORDINATES - MATCHES + 1
 SIMILARITY_PERCENT = 80
 BLOCK_MEMBERS = 512
+SALTS = 8
 _SLICE = 256
 
 _RANDOM = np.random.default_rng(101)
-_MULTIPLY = _RANDOM.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
+_MULTIPLY = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -52,36 +53,34 @@ def set_key(found: np.ndarray) -> bytes:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima of seeded permutations of 32-bit shingle hashes; one row for each set, none empty."""
+    """Minima of seeded linear permutations of the 64-bit shingle hashes; one row for each set, none empty.
+
+    A minimum is mixed with its coordinate, so a value stands for the pair; 64 bits keep values of unrelated texts
+    apart in large tables too.
+    """
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    low = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(sets), COORDINATES), np.uint32)
+    out = np.empty((len(sets), COORDINATES), np.uint64)
     for k in range(COORDINATES):
-        x = low * _MULTIPLY[k] + _ADD[k]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        x ^= x >> np.uint32(12)
-        out[:, k] = np.minimum.reduceat(x, starts)
-    return out
+        out[:, k] = np.minimum.reduceat(flat * _MULTIPLY[k] + _ADD[k], starts)
+    return mix64(out + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, key and values of every row; a value carries its coordinate in the upper half.
+    """doc_id, n_shingles, key and values of every row.
 
     Key and values are null for an empty set and for a row without an id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tags = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(start, _SLICE)
                 sets = [shingle_set(t.as_py(), size) for t in part.column(1)]
                 used = np.array([len(s) > 0 for s in sets]) & np.asarray(part.column(0).is_valid())
                 kept = [s for s, u in zip(sets, used, strict=True) if u]
-                values = (signatures(kept).astype(np.uint64) | tags).astype(np.int64).ravel() if kept else np.zeros(0, np.int64)
+                values = signatures(kept).astype(np.int64).ravel() if kept else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(used * COORDINATES)]).astype(np.int32)
                 keys = [set_key(s) if u else None for s, u in zip(sets, used, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -196,6 +195,12 @@ def _across_components(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("hub", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
+def _salted_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key; the rows of a hot key are dealt to ``SALTS`` tasks."""
+    salts = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(salts, [key, "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     signed = checkpointed(_signed(docs, size))
@@ -204,25 +209,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY
 
     posted = classes.select("node", F.explode("values").alias("value"))
     common = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = posted.join(common, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("list"))
+    ranked = _salted_join(posted, common, "value", "node").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("list"))
     take = F.size("list") - F.lit(MATCHES - 1)  # values that occur once come first and post nothing
     weight = F.aggregate("list", F.lit(0.0), lambda total, x: total + F.log2(x.n))
     prefix = ranked.filter(F.size("list") >= MATCHES).select("node", F.round(weight, 3).alias("weight"), F.explode(F.slice("list", 1, take)).alias("p"))
     posts = checkpointed(prefix.select("node", "weight", F.col("p.value").alias("value")))
 
     hubs = posts.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
-    joined = posts.join(hubs.select("value", (-F.col("top.minus")).alias("hub")), "value").select("hub", "node")
+    joined = _salted_join(posts, hubs.select("value", (-F.col("top.minus")).alias("hub")), "value", "node").select("hub", "node")
     met = checkpointed(joined.distinct())
     pairs = met.filter("hub <> node").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     used = met.select("node").union(met.select("hub")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    sets = checkpointed(_with_sets(texts.join(used, "node", "left_semi"), size))
+    sets = checkpointed(_with_sets(texts.join(used.hint("shuffle_hash"), "node", "left_semi"), size))
     found = components(_verified(pairs, classes.select("node", "values"), sets, percent))
 
     everyone = met.union(met.select("hub", F.col("hub").alias("node"))).distinct()
     placed = everyone.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("c"))
     open_hubs = placed.groupBy("hub").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high AND n > 2")
-    members = placed.join(open_hubs.select("hub", "n"), "hub").join(sets, "node")
+    members = _salted_join(placed, open_hubs.select("hub", "n"), "hub", "node").join(sets, "node")
     found = components(_across_components(members, percent), found)
 
     of_class = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
