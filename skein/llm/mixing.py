@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD_PATTERN
+from skein.llm.common import WORD_PATTERN, checkpointed
 
 SIZE_CLASSES, HASH_CELLS = 1024, 256
 #: The weights of the sources in order, repeating.
@@ -79,7 +79,8 @@ def mix_sources(
         _CELL: F.coalesce(_hex(F.concat(F.col(id_col).cast("string"), F.lit(f"/{seed}")), 2) % HASH_CELLS, F.lit(0)),
     }).withColumn(_CLASS, F.least(F.floor(F.sqrt(F.col("__size").cast("double"))), F.lit(SIZE_CLASSES - 1)))
 
-    cells = keyed.groupBy(_KEY, _CLASS, _CELL).agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum"))
+    # Read twice below: written once, so that the texts are counted once for it.
+    cells = checkpointed(keyed.groupBy(_KEY, _CLASS, _CELL).agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum")))
     source = F.when(F.col(_KEY) != "-", F.substring(_KEY, 2, 1 << 30))
     sources = cells.groupBy(_KEY).agg(F.sum("__sum").alias("source_size"), F.sum("__n").alias("__docs")).withColumn("source", source)
     targets = source_targets(sources, weights, most).select(_KEY, "source_size", "target", "rate", "__docs")
