@@ -3,6 +3,10 @@
 Decoders take P5 and P6 (8 and 16 bits), P2 and P3, P1 and P4, and uncompressed BMP of 8, 24 and 32 bits.
 Resizing reads a summed-area table at fractional corners; the table is built in blocks of rows, so memory
 does not grow with the height of a picture.
+
+Defined results: a null text counts as empty, an empty one is stored as 64 zero bytes; texts of any length are stored
+whole; equal texts give equal values, repeated rows one row each; an empty table gives an empty result; a null, empty
+or broken picture gets nulls and a reason; other columns are not read.
 """
 
 from __future__ import annotations
