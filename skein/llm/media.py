@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skein.llm.common import text_bytes
 
@@ -180,7 +181,7 @@ def media_tiles(df: DataFrame, media_col: str = "media", *, tile: int = 16) -> D
             columns = [pa.array(values, kind) for values, kind in zip(rows, made.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *made])
 
-    schema = base.schema
+    schema = StructType(list(base.schema.fields))
     for name, kind in zip(made, ("long", "long", "binary", "string", "string"), strict=True):
         schema = schema.add(name, kind)
     return base.mapInArrow(run, schema)
