@@ -5,8 +5,9 @@ capitals, punctuation and obfuscation (words that only match once digits, signs
 contributes depends on the word alone and is cached, so a text costs one look-up per word.
 
 The fit reads at most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id, whole texts. They are split in
-three by that hash: the lexicon is learned from one part (words and stems that occur in toxic texts almost only),
-the trees from another and the calibration from a third, so that none sees its own training rows.
+three by that hash. The lexicon holds words and stems that occur in toxic texts almost only; the features of a training
+row come from a lexicon that was learned without its part, those of other texts from the lexicon of all parts. Two
+parts grow the trees, the third calibrates them.
 
 Defined results: null and empty texts get the calibrated score of a text without any word; repeated rows get equal
 scores; without a labelled row of each class every score is the share of label 1, or 0.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import LETTERS_DIGITS, checkpointed, crc_remainder, text_bytes
 
 TRAIN_ROWS = 20_000
-LEXICON_SIZE = 4000
+LEXICON_SIZE, CANDIDATES, PARTS = 4000, 50_000, 3
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 60, 3, 0.2, 32, 4, 1.0
 STEMS = (4, 5, 6, 7, 8)
 
@@ -207,51 +208,73 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return checkpointed(texts.join(F.broadcast(ids), "doc_id"))  # at most max_rows narrow rows are sent
 
 
-def learn_lexicon(sample: DataFrame) -> dict[bytes, int]:
-    """Terms that occur in toxic texts almost only, counted once a text: 1, and 2 for the surest."""
+def _term_counts(rows: DataFrame, wanted: frozenset[bytes] | None) -> DataFrame:
+    """term, n0, n1, n2: in how many texts of each part a term occurs; of ``wanted`` terms only, if they are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1), strict=True):
-                bare = {core(w) for w in set(text_bytes(text.as_py()).split())}
-                counts[y.as_py()].update({t for w in bare for t in terms_of(w)})
-        rows = [(t, n, counts[0][t]) for t, n in counts[1].items()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        kinds = [pa.binary(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["term", "toxic", "clean"])
-
-    # A partition names the terms of its toxic texts; their counts in clean texts of other partitions need a second look.
-    rows = sample.filter("h % 3 = 0").select("text", "y").coalesce(1)  # the sample has a documented bound
-    found = rows.mapInArrow(run, "term binary, toxic long, clean long").filter("toxic >= 3")
-    total = rows.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
-    toxic, clean = max(total["toxic"] or 0, 1), max((total["n"] or 0) - (total["toxic"] or 0), 1)
-    purity = (F.col("toxic") / toxic) / (F.col("toxic") / toxic + (F.col("clean") + 0.5) / clean)
-    top = found.withColumn("purity", purity).filter("purity >= 0.95").orderBy(F.desc("toxic"), "term").limit(LEXICON_SIZE).collect()
-    return {bytes(r.term): 2 if r.purity >= 0.985 and r.toxic >= 6 else 1 for r in top}
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                counts: Counter = Counter()
+                for text, h in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    found = {t for w in {core(w) for w in set(text_bytes(text.as_py()).split())} for t in terms_of(w)}
+                    counts.update((t, h % PARTS) for t in (found if wanted is None else found & wanted))
+                terms = list(dict.fromkeys(t for t, _ in counts))
+                columns = [pa.array(terms, pa.binary()), *(pa.array([counts[t, k] for t in terms], pa.int64()) for k in range(PARTS))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "n0", "n1", "n2"])
+
+    made = rows.select("text", "h").mapInArrow(run, "term binary, n0 long, n1 long, n2 long")
+    return made.groupBy("term").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(PARTS)])
+
+
+def learn_lexicons(sample: DataFrame) -> list[dict[bytes, int]]:
+    """Terms that occur in toxic texts almost only, counted once a text: 1, and 2 for the surest.
+
+    The first lexicons leave out one part each, the last is of all parts.
+    """
+    often = F.col("n0") + F.col("n1") + F.col("n2")
+    toxic = _term_counts(sample.filter("y = 1"), None).filter(often >= 3).orderBy(F.desc(often), "term").limit(CANDIDATES).collect()
+    toxic_counts = {bytes(r.term): np.array([r.n0, r.n1, r.n2]) for r in toxic}
+    clean = _term_counts(sample.filter("y = 0"), frozenset(toxic_counts)).collect() if toxic_counts else []
+    clean_counts = {bytes(r.term): np.array([r.n0, r.n1, r.n2]) for r in clean}
+    sizes = {y: np.zeros(PARTS) for y in (0, 1)}
+    for r in sample.groupBy("y", (F.col("h") % PARTS).alias("k")).count().collect():
+        sizes[r.y][r.k] = r["count"]
+    out = []
+    for left_out in (*range(PARTS), None):
+        used = np.array([k != left_out for k in range(PARTS)])
+        n_toxic, n_clean = max(sizes[1][used].sum(), 1), max(sizes[0][used].sum(), 1)
+        found = []
+        for term, n in toxic_counts.items():
+            hits, misses = n[used].sum(), clean_counts[term][used].sum() if term in clean_counts else 0
+            purity = hits / n_toxic / (hits / n_toxic + (misses + 0.5) / n_clean) if hits else 0.0
+            if hits >= 3 and purity >= 0.95:
+                found.append((-hits, term, 2 if purity >= 0.985 and hits >= 6 else 1))
+        out.append({term: rank for _, term, rank in sorted(found)[:LEXICON_SIZE]})
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS) -> dict:
     sample = labelled_sample(docs, labels, "toxic", usable, max_rows)
-    learned = learn_lexicon(sample)
+    lexicons = learn_lexicons(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(learned)
+        codes = [_Codes(x) for x in lexicons]
         for batch in batches:
-            made = [features(t.as_py(), codes).tobytes() for t in batch.column(3)]
+            made = [features(t.as_py(), codes[h % PARTS]).tobytes() for t, h in zip(batch.column(3), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["doc_id", "h", "y", "x"])
 
     rows = sample.select("doc_id", "h", "y", "text").mapInArrow(run, "doc_id long, h long, y int, x binary").collect()
-    rows = sorted((r.h, r.doc_id, r.y, bytes(r.x)) for r in rows if r.h % 3)
+    rows = sorted((r.h, r.doc_id, r.y, bytes(r.x)) for r in rows)
     y = np.array([r[2] for r in rows], float)
     if len(rows) < 8 or not 0 < y.sum() < len(y):
-        return {"learned": learned, "constant": float(y.mean()) if len(y) else 0.0}
+        return {"learned": lexicons[-1], "constant": float(y.mean()) if len(y) else 0.0}
     x = np.array([np.frombuffer(r[3]) for r in rows])
-    held = np.array([r[0] % 3 == 2 for r in rows])
+    held = np.array([r[0] % PARTS == 2 for r in rows])
     if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
         held = np.arange(len(y)) % 2 == 0
     trees = Trees(x[~held], y[~held]) if 0 < y[~held].sum() < (~held).sum() else Trees(x, y)
-    return {"learned": learned, "trees": trees, "knots": isotonic(trees.margin(x[held]), y[held])}
+    return {"learned": lexicons[-1], "trees": trees, "knots": isotonic(trees.margin(x[held]), y[held])}
 
 
 def score_batch(model: dict, texts: list[str | None], codes: _Codes) -> np.ndarray:
