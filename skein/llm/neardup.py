@@ -35,7 +35,7 @@ from skein.llm.common import checkpointed, mix64, shingles, text_bytes, word_has
 COORDINATES, MATCHES = 64, 38
 PREFIX = COORDINATES - MATCHES + 1
 SIMILARITY_PERCENT = 80
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_000_000
 SALTS = 8
 _SLICE = 256
 
@@ -163,12 +163,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _across_components(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (hub, n, node, c, set) of a hub that belong to different components c.
+    """Links (a, b) between members (hub, blocks, node, c, set) of a hub that belong to different components c.
 
-    A hub of n members has n / BLOCK_MEMBERS blocks; a group is one pair of blocks, so its size is bounded.
+    A group is one pair of blocks of a hub, and a hub has as many blocks as its members and their shingles ask for, so
+    the size of a group is bounded.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "c", "set"
     )
@@ -226,8 +226,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY
 
     everyone = met.union(met.select("hub", F.col("hub").alias("node"))).distinct()
     placed = everyone.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("c"))
-    open_hubs = placed.groupBy("hub").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high AND n > 2")
-    members = _salted_join(placed, open_hubs.select("hub", "n"), "hub", "node").join(sets, "node")
+    sized = placed.join(sets.select("node", F.size("set").alias("s")), "node")
+    by_hub = sized.groupBy("hub").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.min("c").alias("low"), F.max("c").alias("high"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    open_hubs = by_hub.filter("low <> high AND n > 2").select("hub", blocks.alias("blocks"))
+    members = _salted_join(placed, open_hubs, "hub", "node").join(sets, "node")
     found = components(_across_components(members, percent), found)
 
     of_class = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
