@@ -63,7 +63,7 @@ def gdpo(df: DataFrame, scores: dict[str, float] | None = None, uid: str = "uid"
     weights = mask or "__one"
     if mask is None:
         summed = summed.withColumn(weights, F.lit(1))
-    white = masked_whiten(summed, "__a", weights, "__w")
+    white = masked_whiten(summed, "__a", weights, "__w", weighted=mask is not None)
     return white.withColumn("advantage", F.col("__w") * (F.col(weights) != 0).cast("int")).drop("__a", "__w", *([weights] if mask is None else []))
 
 
@@ -87,7 +87,7 @@ def baseline_whitened(df: DataFrame, score: str = "score", uid: str = "uid", mas
     weights = mask or "__one"
     if mask is None:
         centred = centred.withColumn(weights, F.lit(1))
-    white = masked_whiten(centred, "__a", weights, "__w")
+    white = masked_whiten(centred, "__a", weights, "__w", weighted=mask is not None)
     return white.withColumn("advantage", F.col("__w") * (F.col(weights) != 0).cast("int")).drop("__a", "__w", *([weights] if mask is None else []))
 
 

@@ -24,18 +24,27 @@ def masked_mean(value: Column | str, mask: Column | str, over: WindowSpec | None
     return masked_sum(value, mask, over) / ((count.over(over) if over is not None else count) + F.lit(MASK_EPS))
 
 
-def masked_moments(df: DataFrame, value: str, mask: str) -> DataFrame:
-    """One row: mask sum ``n``, masked ``mean`` and Bessel-corrected ``var``; raises at a mask sum of 0 or 1."""
-    first = df.agg(F.sum(mask).cast("double").alias("n"), masked_mean(value, mask).alias("mean"))
-    second = df.crossJoin(F.broadcast(first)).groupBy("n", "mean").agg(masked_mean((F.col(value) - F.col("mean")) ** 2, mask).alias("v"))
-    return second.select(
+def masked_moments(df: DataFrame, value: str, mask: str, weighted: bool = False) -> DataFrame:
+    """One row: mask sum ``n``, masked ``mean`` and Bessel-corrected ``var``; raises at a mask sum of 0 or 1.
+
+    A mask of zeros and ones takes one pass, by Spark's merged second moments; ``weighted`` masks take two.
+    """
+    if weighted:
+        first = df.agg(F.sum(mask).cast("double").alias("n"), masked_mean(value, mask).alias("mean"))
+        made = df.crossJoin(F.broadcast(first)).groupBy("n", "mean").agg(masked_mean((F.col(value) - F.col("mean")) ** 2, mask).alias("v"))
+    else:
+        kept = F.when(F.col(mask) != 0, F.col(value))
+        one = df.agg(F.sum(mask).cast("double").alias("n"), masked_mean(value, mask).alias("mean"), F.avg(kept).alias("__avg"), F.var_pop(kept).alias("__var"))
+        around = F.col("__var") + (F.col("__avg") - F.col("mean")) ** 2
+        made = one.select("n", "mean", (around * F.col("n") / (F.col("n") + MASK_EPS)).alias("v"))
+    return made.select(
         "n", "mean", F.when(F.col("n") > 1, F.col("v") * F.col("n") / (F.col("n") - 1)).otherwise(F.raise_error(F.lit("masked variance needs a mask sum above 1")).cast("double")).alias("var")
     )
 
 
-def masked_whiten(df: DataFrame, value: str, mask: str, out: str, shift_mean: bool = True) -> DataFrame:
+def masked_whiten(df: DataFrame, value: str, mask: str, out: str, shift_mean: bool = True, weighted: bool = False) -> DataFrame:
     """(value - mean) / sqrt(var + 1e-8) over the whole table; the moments are one row, sent to all tasks."""
-    moments = masked_moments(df, value, mask)
+    moments = masked_moments(df, value, mask, weighted)
     white = (F.col(value) - F.col("__mean")) / F.sqrt(F.col("__var") + VAR_EPS)
     if not shift_mean:
         white = white + F.col("__mean")

@@ -1,12 +1,17 @@
 """Ordered computations over the tokens of a trajectory.
 
-Sums run as windows over token rows; recurrences that a window cannot hold are folds over arrays.
+Sums run as windows over token rows; recurrences that a window cannot hold are scans over Arrow batches of arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from skein.operators.masked import masked_whiten
 
@@ -24,27 +29,48 @@ def running_sum(value: Column | str, mask: str = "mask", traj: str = "traj", pos
     return F.sum(value * F.col(mask)).over(_along(traj, pos).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def _fold_back(cells: Column, state: Column, step, out: str) -> Column:
-    """Folds an array from its end; ``step(state, cell)`` gives the next state, whose ``out`` field has the results."""
-    return F.aggregate(F.reverse(cells), state, step).getField(out)
+def _scan_back(df: DataFrame, traj: str, columns: list[str], out: str, step: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """traj, pos, the cells of ``columns`` and ``out``: a recurrence from the end of each row's arrays.
+
+    All rows of a batch advance together, the longest first, so a step is a few numpy operations whatever the number of
+    trajectories, and a long trajectory costs time in proportion to its length. ``step(state, cells)`` changes the two
+    rows of ``state`` and returns the results. Arrays of a row have equal lengths; an empty or null one gives no row.
+    """
+    schema = StructType([df.schema[traj], StructField("pos", IntegerType()), *[StructField(c, DoubleType()) for c in (*columns, out)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[1:]
+            lengths = np.diff(lists[0].offsets.to_numpy())
+            flat = [x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in lists]
+            order = np.argsort(-lengths, kind="stable")
+            ends, sizes = np.cumsum(lengths)[order], lengths[order]
+            result, state = np.empty(int(lengths.sum())), np.zeros((2, len(lengths)))
+            for k in range(int(sizes[0]) if len(sizes) else 0):
+                active = int(np.searchsorted(-sizes, -k, "left"))
+                at = ends[:active] - 1 - k
+                result[at] = step(state[:, :active], [f[at] for f in flat])
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            pos = (np.arange(len(result)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), *map(pa.array, flat), pa.array(result)], schema.names)
 
+    return df.select(traj, *columns).mapInArrow(run, schema)
 
-def discounted_returns(rewards: str = "reward", mask: str = "mask", gamma: float = 1.0) -> Column:
-    """R_t = r_t + gamma * (R_{t+1} * mask_{t+1}), as an array."""
-    cells = F.arrays_zip(F.col(rewards).alias("r"), F.col(mask).alias("m"))
-    state = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
 
-    def step(s, c):
-        r = c["r"] + F.lit(float(gamma)) * s["run"]
-        return F.struct((r * c["m"]).alias("run"), F.array_prepend(s["out"], r).alias("out"))
+def discounted_returns(df: DataFrame, rewards: str = "reward", mask: str = "mask", gamma: float = 1.0, traj: str = "traj") -> DataFrame:
+    """traj, pos, the cells and ``ret``: R_t = r_t + gamma * (R_{t+1} * mask_{t+1})."""
 
-    return _fold_back(cells, state, step, "out")
+    def step(state: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+        now = cells[0] + gamma * state[0]
+        state[0] = now * cells[1]
+        return now
+
+    return _scan_back(df, traj, [rewards, mask], "ret", step)
 
 
 def reinforce_plus_plus(df: DataFrame, rewards: str = "reward", mask: str = "mask", gamma: float = 1.0, traj: str = "traj") -> DataFrame:
-    """Discounted returns of a table of arrays, whitened over all unmasked tokens: traj, pos, ret, advantage."""
-    cells = F.arrays_zip(discounted_returns(rewards, mask, gamma).alias("ret"), F.col(mask).alias("m"))
-    flat = df.select(traj, F.posexplode(cells).alias("pos", "c")).select(traj, "pos", F.col("c.ret").alias("ret"), F.col("c.m").alias("mask"))
+    """Discounted returns of a table of arrays, whitened over all unmasked tokens: traj, pos, ret, mask, advantage."""
+    flat = discounted_returns(df, rewards, mask, gamma, traj).select(traj, "pos", "ret", F.col(mask).alias("mask"))
     white = masked_whiten(flat, "ret", "mask", "advantage")
     return white.withColumn("advantage", F.col("advantage") * F.col("mask"))
 
@@ -55,20 +81,16 @@ def gae(df: DataFrame, rewards: str = "reward", values: str = "value", mask: str
     A token of mask 0 hands on the next value and the running advantage. Returns are advantages before whitening
     plus values.
     """
-    cells = F.arrays_zip(F.col(rewards).alias("r"), F.col(values).alias("v"), F.col(mask).alias("m"))
-    state = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, c):
-        delta = c["r"] + F.lit(float(gamma)) * s["next"] - c["v"]
-        last = delta + F.lit(float(gamma * lam)) * s["last"]
-        kept = c["m"] * last + (1 - c["m"]) * s["last"]
-        following = c["m"] * c["v"] + (1 - c["m"]) * s["next"]
-        return F.struct(following.cast("double").alias("next"), kept.cast("double").alias("last"), F.array_prepend(s["out"], kept.cast("double")).alias("out"))
-
-    made = F.arrays_zip(_fold_back(cells, state, step, "out").alias("a"), F.col(values).alias("v"), F.col(mask).alias("m"))
-    flat = df.select(traj, F.posexplode(made).alias("pos", "c")).select(
-        traj, "pos", F.col("c.m").alias("mask"), (F.col("c.a") + F.col("c.v")).alias("ret"), F.col("c.a").alias("raw")
-    )
+
+    def step(state: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+        r, v, m = cells
+        last = r + gamma * state[0] - v + gamma * lam * state[1]
+        state[1] = m * last + (1 - m) * state[1]
+        state[0] = m * v + (1 - m) * state[0]
+        return state[1]
+
+    made = _scan_back(df, traj, [rewards, values, mask], "raw", step)
+    flat = made.select(traj, "pos", F.col(mask).alias("mask"), (F.col("raw") + F.col(values)).alias("ret"), "raw")
     done = masked_whiten(flat, "raw", "mask", "advantage") if whiten else flat.withColumn("advantage", F.col("raw"))
     return done.drop("raw")
 
