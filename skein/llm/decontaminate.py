@@ -145,11 +145,11 @@ class Index:
             self.tables.append(self._table(len(self.tables)))
             for m, (k, words) in enumerate(mutants):
                 if not found[m]:
-                    found[m] = any(x == k for x, _ in self._candidates(np.concatenate([words, np.zeros(_GAP, np.int64)]), len(self.tables) - 1))
+                    found[m] = any(x == k for x, *_ in self._candidates(np.concatenate([words, np.zeros(_GAP, np.int64)]), len(self.tables) - 1))
             self.recall = float(found.mean())
 
-    def _candidates(self, flat: np.ndarray, repetition: int) -> Iterator[tuple[int, int]]:
-        """Item numbers and starts of windows that share a key in one repetition."""
+    def _candidates(self, flat: np.ndarray, repetition: int) -> Iterator[tuple[int, int, int]]:
+        """Item numbers and starts of windows that share a key in one repetition, and where the anchor stands."""
         for length, steps, first, allowed, keys, members, anchors in self.tables[repetition]:
             starts = np.flatnonzero(first[flat[: len(flat) - _GAP]])
             if not len(starts):
@@ -160,7 +160,8 @@ class Index:
             low, high = np.searchsorted(keys, walked[-1], "left"), np.searchsorted(keys, walked[-1], "right")
             count = high - low
             row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            yield from zip(members[row].tolist(), (np.repeat(starts, count) - anchors[row]).tolist(), strict=True)
+            place = np.repeat(starts, count)
+            yield from zip(members[row].tolist(), (place - anchors[row]).tolist(), place.tolist(), strict=True)
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(position in ``texts``, item number, distance, first word of the window), the best of each pair."""
@@ -178,19 +179,15 @@ class Index:
         if not parts:
             return
         flat, begin = np.concatenate(parts), np.array(begins)
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, int]] = set()
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for repetition in range(len(self.tables)):
-            for k, start in self._candidates(flat, repetition):
-                if (k, start) in seen:
+            for k, start, place in self._candidates(flat, repetition):
+                doc = int(np.searchsorted(begin, place, "right")) - 1
+                if (k, start, doc) in seen:
                     continue
-                seen.add((k, start))
+                seen.add((k, start, doc))
                 item, most = self.items[k], self.allowed[k]
-                doc = int(np.searchsorted(begin, max(start, 0) + 0, "right")) - 1
-                if start < begin[doc] and doc + 1 < len(begin) and start + len(item) > begin[doc + 1]:
-                    doc += 1
-                if start >= ends[doc] and doc + 1 < len(begin):
-                    doc += 1
                 low, high = max(start - most, begins[doc]), min(start + len(item) + most, ends[doc])
                 region = flat[low:high]
                 if len(region) < len(item) - most:

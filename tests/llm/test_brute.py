@@ -180,6 +180,11 @@ def test_mutated_items_are_found(spark):
     found = {(d, k) for d, k, _, _ in index.find(planted)}
     assert sum((d, k) in found for d, k in enumerate(want)) >= 0.95 * len(items)
     assert not list(index.find([" ".join(other)] * 3))
+    long = max(range(len(items)), key=lambda k: len(index.items[k]))
+    words = [w.decode() for w in decontaminate.normal_words(items[long][1])]
+    cut = index.allowed[long]
+    ends = [" ".join(other), " ".join(words[cut:] + other), " ".join(other + words[: len(words) - cut]), ""]
+    assert {(d, k) for d, k, _, _ in index.find(ends)} == {(1, long), (2, long)}
 
 
 def test_verbatim_items_and_nothing_else(spark):
