@@ -141,6 +141,20 @@ def test_licenses(docs, none, spark):
     assert own.base_labels == "" and own.labels == "mit" and 0.6 <= own.score <= 1
 
 
+def test_license_variants(docs, spark):
+    gpl, lgpl = (n[0] for n in licenses.NOTICES[:2])
+    texts = {
+        gpl: "gpl", lgpl: "lgpl", gpl.replace("gnu general", "gnu affero general"): "", lgpl.replace("lesser", "library"): "lgpl",
+        gpl.replace("gnu general public", "artistic"): "", gpl + " or " + lgpl: "gpl,lgpl", "free software " * 14: "",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "licensed under CC BY 4.0": "cc-by", "licensed under CC BY-NC-SA 4.0": "cc-by",
+        "so " * 99 + gpl.replace("can", "may") + " free software" * 14: "gpl", " ".join(gpl.split()[::-1]): "",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
+    assert [got[k].labels for k in range(len(texts))] == list(texts.values())
+    assert got[6].score < 0.6
+
+
 def test_folds(docs):
     got = docs.select("doc_id", crc_remainder("doc_id", 5).alias("r")).collect()
     assert all(r.r is None if r.doc_id is None else r.r == zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
