@@ -1,7 +1,8 @@
 """Secret scans: candidates by shape, a random forest against false positives.
 
-Candidates are runs of at least ``LEAST_LENGTH`` token characters that hold a digit and a letter, and values that
-stand after a key word and an assignment sign. The forest judges each by its length, character transitions,
+Candidates are runs of at least ``LEAST_LENGTH`` token characters that hold a digit and a letter, values that stand
+after a key name and an assignment sign, and web tokens; ``=`` belongs to a run as padding at its end only. Where a run
+is part of a longer value, both are judged, and the whole value is the finding. The forest judges each by its length, character transitions,
 dictionary coverage, path, and neighbouring words. It is trained on labelled findings: ``labelled_findings`` makes
 a seeded set of secrets and of look-alikes (check sums, commit ids, identifiers, paths, placeholders) in their usual
 surroundings, since no table holds any; a table of (before, value, after, label) can be passed instead.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import text_bytes
 
-LEAST_LENGTH = 16
+LEAST_LENGTH, LEAST_VALUE = 16, 8
 TREES, DEPTH, LEAST_ROWS = 30, 8, 3
 THRESHOLD = 0.5
 CONTEXT = 48
@@ -45,7 +46,25 @@ DICTIONARY = tuple(
 )
 
 _TOKEN = np.zeros(256, bool)
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=":
+for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
+    _TOKEN[_c] = True
+_NAME = re.compile(rb"(?<![\w-])([\w-]++)[\"']?\s{0,3}(?::=|=>|={1,3}|:)\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?([\"']?)")
+_VALUE = re.compile(rb"(?:[^\s\"',;<>&]|&(?![\w.-]{1,64}=))+")
+_WEB_TOKEN = re.compile(rb"(?<![\w-])eyJ[\w-]{5,}+(?:\.[\w-]++){1,4}")
+_WORDS = (b"token", b"secret", b"passw", b"pwd", b"api_key", b"apikey", b"api-key", b"auth", b"bearer", b"credential", b"private_key", b"access_key", b"client_key")
+OTHER_WORDS = (b"commit", b"sha", b"md5", b"checksum", b"digest", b"hash", b"uuid", b"guid", b"etag", b"revision", b"version", b"example", b"image", b"file", b"path", b"session_id", b"trace", b"build")
+# Prefixes of public key formats.
+PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"github_pat_", b"glpat-", b"sk_live_", b"rk_live_", b"sk-", b"xoxb-", b"xoxp-", b"AIza", b"ya29.", b"eyJ", b"npm_", b"hf_")
+# Common English words and name parts.
+DICTIONARY = tuple(
+    b"the and for with from this that have not are was you your user name file path data test main config value index table model image version "
+    b"release build server client request response error message default example sample handler manager service controller module package "
+    b"object string number array list item time date key token session cache local global public private static class function method return "
+    b"import export node page view form button event action state store update create delete insert select order group count total start end".split()
+)
+
+_TOKEN = np.zeros(256, bool)
+for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
     _TOKEN[_c] = True
 _ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(re.escape(w) for w in KEY_WORDS) + rb")[\w-]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;<>]{8,200})")
 _WORDS = re.compile(rb"[a-z]{3,}")
@@ -54,27 +73,57 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 _VOWELS = frozenset(b"aeiouAEIOU")
 
 
-def candidates(data: bytes) -> list[tuple[int, int]]:
-    """Spans (start, end) of candidate secrets, in order, without overlap."""
+def _runs(data: bytes) -> list[tuple[int, int]]:
     raw = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], _TOKEN[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= LEAST_LENGTH
     found = []
-    for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-        while start < end and data[start] in b"=-/+":
+    # A run can be short by its padding, which is no token character.
+    long = edges[1::2] - edges[::2] >= LEAST_LENGTH - 2
+    for start, end in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
+        while start < end and data[start] in b"-/+":
             start += 1
+        padded = end
+        while data[padded : padded + 1] == b"=":
+            padded += 1
+        if padded == len(data) or not _TOKEN[data[padded]]:
+            end = padded
         kinds = set(_CLASS[raw[start:end]].tolist())
         if end - start >= LEAST_LENGTH and 3 in kinds and kinds & {1, 2}:
             found.append((start, end))
+    return found
+
+
+def _values(data: bytes) -> list[tuple[int, int]]:
+    """Values after key names, and web tokens; of values inside each other the outermost and the innermost."""
+    found = [m.span() for m in _WEB_TOKEN.finditer(data)] if b"eyJ" in data else []
     low = data.lower()
-    if any(w in low for w in KEY_WORDS):
-        taken = list(found)
-        for m in _ASSIGNED.finditer(data):
-            if not any(s < m.end(1) and m.start(1) < e for s, e in taken):
-                found.append(m.span(1))
-    return sorted(found)
+    if not any(w in low for w in KEY_WORDS):
+        return found
+    last, inner = 0, None
+    for m in _NAME.finditer(data):
+        name = low[m.start(1) : m.end(1)]
+        if not any(w in name for w in KEY_WORDS):
+            continue
+        start = m.end()
+        if start < last:
+            inner = (start, end)
+            continue
+        found += [inner] if inner else []
+        inner, value = None, _VALUE.match(data, start)
+        if value is None:
+            continue
+        last = end = value.end()
+        while not m[2] and end > start and (data[end - 1] in b".:`" or any(data[end - 1] == b and a not in data[start:end] for a, b in zip(b"([{", b")]}", strict=True))):
+            end -= 1
+        found.append((start, end))
+    found += [inner] if inner else []
+    return [(s, e) for s, e in found if e - s >= LEAST_VALUE]
+
+
+def candidates(data: bytes) -> list[tuple[int, int]]:
+    """Spans (start, end) of candidate secrets, in order; runs can lie inside of values."""
+    return sorted({*_runs(data), *_values(data)})
 
 
 def _transition_table() -> np.ndarray:
@@ -216,12 +265,27 @@ def default_forest() -> Forest:
 
 
 def find(data: bytes, forest: Forest) -> list[tuple[int, int, float]]:
-    """Spans of the secrets of one text, with their probability."""
+    """Spans of the secrets of one text, in order and without overlap, with their probability."""
     spans = candidates(data)
     if not spans:
         return []
     x = np.array([features(data[max(0, s - CONTEXT) : s], data[s:e], data[e : e + CONTEXT]) for s, e in spans])
-    return [(s, e, float(p)) for (s, e), p in zip(spans, forest.probability(x), strict=True) if p >= THRESHOLD]
+    judged = dict(zip(spans, forest.probability(x).tolist(), strict=True))
+    whole: dict[int, int] = {}
+    for s, e in spans:
+        whole[s] = max(e, whole.get(s, 0))
+    # A value that begins with a secret is one to its end; of secrets inside each other the outermost stays.
+    merged: dict[tuple[int, int], float] = {}
+    for (s, e), p in judged.items():
+        if p >= THRESHOLD:
+            merged[s, whole[s]] = max(p, merged.get((s, whole[s]), 0.0))
+    found: list[tuple[int, int, float]] = []
+    for (s, e), p in sorted(merged.items()):
+        if found and s < found[-1][1]:
+            found[-1] = (found[-1][0], max(e, found[-1][1]), max(p, found[-1][2]))
+        else:
+            found.append((s, e, p))
+    return found
 
 
 def kind_of(value: bytes) -> str:

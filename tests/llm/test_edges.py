@@ -120,6 +120,24 @@ def test_secrets(docs, none):
     assert secrets.redact(docs).exceptAll(docs).count() == 0
 
 
+HEX = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c04dbebab"
+VALUES = [
+    ("API_KEY=", HEX), ("token=", HEX), ("PASSWORD=", "Abc123def456Ghi789"), ("TOKEN=", "ghp_abcdefghijKLMNOPqrstuvwxyz0123456789"),
+    ("api_key==", HEX), ("secret=", "YWJjZGVmZ2hpamtsbW5vcHFyMTIzNA=="), ('password = "', "abcDEF1234567890ab!xyz.q9"),
+    ("Authorization: Bearer ", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"),
+    ("https://a.org/b?page=2&token=", HEX), ("(token=", HEX),
+]
+
+
+@pytest.mark.parametrize(("name", "value"), VALUES)
+def test_assigned_secrets(name, value):
+    after = {"h": "&x=1 end", "(": ") end"}.get(name[0], '" end' if name[-1] == '"' else " end")
+    data = f"say {name}{value}{after}".encode()
+    found = secrets.find(data, secrets.default_forest())
+    assert [data[s:e].decode() for s, e, _ in found] == [value]
+    assert not secrets.find(f"commit={HEX} end".encode(), secrets.default_forest())
+
+
 def test_decontaminate(docs, none, spark):
     items = spark.createDataFrame([(1, PROSE), (2, None), (3, "x"), (4, "one two three four five six")], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.benchmark_hits(docs, items).collect()}
