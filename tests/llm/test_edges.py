@@ -138,6 +138,12 @@ def test_assigned_secrets(name, value):
     assert not secrets.find(f"commit={HEX} end".encode(), secrets.default_forest())
 
 
+@pytest.mark.parametrize(("name", "value"), [("token = ", "ab!9" * 80), ("SECRET_ACCESS_KEY_FOR_PRODUCTION=", "aB3!xY7.qZ9")])
+def test_long_values_and_names(name, value):
+    data = f"say {name}{value} end".encode()
+    assert [data[s:e].decode() for s, e, _ in secrets.find(data, secrets.default_forest())] == [value]
+
+
 def test_decontaminate(docs, none, spark):
     items = spark.createDataFrame([(1, PROSE), (2, None), (3, "x"), (4, "one two three four five six")], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.benchmark_hits(docs, items).collect()}
