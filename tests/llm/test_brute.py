@@ -187,6 +187,28 @@ def test_mutated_items_are_found(spark):
     assert {(d, k) for d, k, _, _ in index.find(ends)} == {(1, long), (2, long)}
 
 
+def test_every_edit_of_short_items_is_found(monkeypatch):
+    long = [(k, " ".join(f"l{k}x{j}" for j in range(40))) for k in range(300)]
+    short = [(1000 + k, " ".join(f"s{k}x{j}" for j in range(5 + k % 4))) for k in range(12)]
+
+    def copies(text):
+        words = text.split()
+        for at in range(len(words)):
+            yield from (words[:at] + words[at + 1 :], [*words[:at], "new", *words[at + 1 :]], [*words[:at], "new", *words[at:]])
+
+    def check(index, items):
+        want = [(i, " ".join(["before", *c, "behind"])) for i, text in items for c in copies(text)]
+        found = [(index.ids[k], d) for d, k, *_ in index.find([t for _, t in want])]
+        assert found == [(i, d) for d, (i, _) in enumerate(want)]
+
+    index = decontaminate.Index(long + short)
+    check(index, short)
+    assert set(index.recalls) == {5, 6, 7, 8, 32} and index.recall >= 0.98
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 0)
+    check(decontaminate.Index(long[:9] + short), long[:9] + short)
+    assert not list(index.find(["s1x0 s1x1 other words", "", None]))
+
+
 def test_verbatim_items_and_nothing_else(spark):
     docs = {d: decontaminate.normal_words(t) for d, t in texts(spark, MIDDLE).items()}
     items = {r.item_id: decontaminate.normal_words(r.text) for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").collect()}
