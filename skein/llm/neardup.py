@@ -2,22 +2,29 @@
 
 A text's set is its distinct word shingles. Rows with equal sets form a class that is represented once. A class has
 a signature of ``COORDINATES`` minima, and is posted under each (coordinate, value) pair. Two sets of similarity 0.8
-share at least ``MATCHES`` of 64 pairs but with a probability of 2e-5, and of 1e-7 at 0.85. So a pair of classes must
-already meet in the ``COORDINATES - MATCHES + 1`` rarest of its pairs: only that prefix is merged, the rest is
-skipped. Pairs that occur once post nothing, and values of passages that many texts share come last and are not
-posted at all.
+share at least ``MATCHES`` of 64 pairs but with a probability of 2e-5, and of 1e-7 at 0.85. Pairs that occur once post
+nothing, so a class with fewer than ``MATCHES`` others is done. Two classes must already meet in all but
+``MATCHES - 1`` of their pairs, the rarest: only this prefix is merged, and the skipped pairs are looked up in the
+signatures of those that met, which completes the count of collisions.
 
-Posting lists are not expanded into all pairs. The class of a list whose values are the most common ones is its hub,
-and each member is paired with the hubs of its lists: a few pairs a member. Pairs that agree in enough coordinates
-are compared on full sets and linked, and components are found. Where the members of a hub still belong to several
-components, they are dealt into blocks of bounded size, and blocks are compared with each other on full sets, across
-components only; nothing but the links is emitted. So no link is given up for the size of a list.
+Posting lists are not expanded into all pairs.
 
-Components come from repeated minimum exchange with pointer jumping over tables in the shared folder.
+1. The class of a list whose values are the most common ones is its hub, and each member is paired with the hubs of
+   its lists: a few pairs a member. Pairs that collide often enough are compared on full sets and linked, and
+   components are found.
+2. A class that may still be linked shares ``MATCHES`` of its pairs, and the wanted percentage of its shingles, with
+   classes of other components. Both are counted over lists, without looking at pairs of classes. All others are done.
+3. What is left is listed again. Members of a hub are dealt into blocks of bounded size, and the blocks of all but the
+   largest component are compared with each other and with those of the largest: collisions first, then full sets,
+   across components only. Nothing but the links is emitted, so no link is given up for the size of a list.
+
+Components come from repeated minimum exchange with pointer jumping over tables in the shared folder. Rows of a hot
+key (a hub, a value, a text with many copies) are dealt to as many tasks as they ask for.
 
 Defined results: a text without words has an empty set, is linked with nothing and kept; a row is judged by its own
 text, so repeated rows get equal results; rows without an id are linked with nothing; classes whose smallest doc_id
-is the same count as one; an empty table gives an empty result; other columns are not read.
+is the same count as one; texts of any length are read whole; an empty table gives an empty result; other columns are
+not read by ``near_duplicates`` and kept by ``first_of_groups``.
 """
 
 from __future__ import annotations
@@ -33,10 +40,12 @@ from pyspark.sql import functions as F
 from skein.llm.common import checkpointed, mix64, shingles, text_bytes, word_hashes
 
 COORDINATES, MATCHES = 64, 38
-PREFIX = COORDINATES - MATCHES + 1
 SIMILARITY_PERCENT = 80
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_000_000
-SALTS = 8
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 500_000
+#: Keys with more rows are hot; rows are at most a thousandth of all or this many, so hot keys are a thousand at most.
+HOT_ROWS, HOT_KEYS = 20_000, 1000
+#: Ids of documents that are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST_IDS = 100_000
 _SLICE = 256
 
 _RANDOM = np.random.default_rng(101)
@@ -117,8 +126,10 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         edges = both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
     ways = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpointed(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    sizes = ways.groupBy("b").agg(F.count("*").alias("n"))
     while True:
-        near = ways.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        met = spread_join(ways, labels.withColumnRenamed("node", "b"), "b", "a", sizes)
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         roots = labels.select(F.col("node").alias("mid"), F.col("component").alias("root"))
         moved = checkpointed(step.join(roots, "mid", "left").select("node", "old", F.least(F.coalesce("root", "mid"), "mid").alias("component")))
@@ -133,16 +144,6 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return labels
 
 
-def _verified(pairs: DataFrame, values: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share enough coordinates and, on full sets, are similar enough."""
-    left, right = (values.select(F.col("node").alias(c), F.col("values").alias(f"v{c}")) for c in "ab")
-    close = pairs.join(left, "a").join(right, "b").filter(F.size(F.array_intersect("va", "vb")) >= MATCHES).select("a", "b")
-    left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
-    sized = close.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("both")
-    return sized.filter(F.col("both") * 100 >= union * percent).select("a", "b").distinct()
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two blocks of sets, from products of 0/1 tables over the shingles they share."""
     ls, rs = np.concatenate(left), np.concatenate(right)
@@ -163,88 +164,156 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _across_components(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (hub, blocks, node, c, set) of a hub that belong to different components c.
+    """Links (a, b) between members (hub, blocks, main, node, c, values, set) of a hub of different components c.
 
-    A group is one pair of blocks of a hub, and a hub has as many blocks as its members and their shingles ask for, so
-    the size of a group is bounded.
+    Members of the component ``main`` are never compared with each other. A group is one pair of blocks of a hub, and a
+    hub has as many blocks as its members and their shingles ask for, so the size of a group is bounded.
     """
-    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "c", "set"
+    number = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    small = F.when(F.col("c") == F.col("main"), F.lit(-1) - number).otherwise(number)  # blocks of the main component are negative
+    placed = members.withColumn("own", small.cast("int")).withColumn("block", F.col("blocks").cast("int"))
+    each = F.sequence(F.lit(0), F.col("block") - 1)
+    others = F.when(F.col("own") < 0, each).otherwise(F.concat(each, F.transform(each, lambda x: -1 - x)))
+    dealt = placed.withColumn("other", F.explode(others)).select(
+        "hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "c", "values", "set"
     )
 
     def run(table: pa.Table) -> pa.Table:
         own, node, c = (table.column(x).to_numpy() for x in ("own", "node", "c"))
-        flat = table.column("set").combine_chunks()
-        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        sets = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         low, high = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found: list[tuple[int, int]] = []
+        links: dict[tuple[int, int], tuple[int, int]] = {}
         if len(left) and len(right) and c.min() != c.max():
-            both = overlaps([sets[i] for i in left], [sets[i] for i in right])
-            sizes = np.array([len(s) for s in sets])
-            union = sizes[left][:, None] + sizes[right][None] - both
-            rows, columns = np.nonzero((both * 100 >= union * percent) & (c[left][:, None] != c[right][None]))
-            once = {}  # one link between two components is enough
-            for i, j in zip(left[rows], right[columns], strict=True):
-                once[min(c[i], c[j]), max(c[i], c[j])] = (int(node[i]), int(node[j]))
-            found = list(once.values())
+            values, sets = ([x.values.to_numpy() for x in table.column(name).combine_chunks()] for name in ("values", "set"))
+            apart = c[left][:, None] != c[right][None]
+            rows, columns = np.nonzero(apart & (overlaps([values[i] for i in left], [values[i] for i in right]) >= MATCHES))
+            if len(rows):
+                some, others = np.unique(rows), np.unique(columns)
+                both = overlaps([sets[i] for i in left[some]], [sets[i] for i in right[others]])
+                both = both[np.searchsorted(some, rows), np.searchsorted(others, columns)]
+                sizes = np.array([len(s) for s in sets])
+                near = both * 100 >= (sizes[left[rows]] + sizes[right[columns]] - both) * percent
+                for i, j in zip(left[rows[near]], right[columns[near]], strict=True):
+                    links[min(c[i], c[j]), max(c[i], c[j])] = (int(node[i]), int(node[j]))  # one between two components is enough
+        found = list(links.values())
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return dealt.groupBy("hub", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def _salted_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join of rows with a table of one row per key; the rows of a hot key are dealt to ``SALTS`` tasks."""
-    salts = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(salts, [key, "salt"]).drop("salt")
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """Join of rows with a table of one row per key. ``sizes`` (key, n) counts the rows of keys, of hot ones at least.
+
+    The rows of a hot key are dealt by ``by`` to as many tasks as it has ``HOT_ROWS``, or a thousandth of all rows.
+    """
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return many.join(few, key, how)
+    parts = F.broadcast(sizes.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))  # HOT_KEYS rows at most
+    left = many.join(parts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0)))
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)
+    right = few.join(parts, key, "left").withColumn("__salt", F.explode(salts)).drop("__parts")
+    return left.drop("__parts").join(right, [key, "__salt"], how).drop("__salt")
+
+
+def _listed(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """node, weight and values, the rarest first, of the nodes of rows (node, value) with at least ``MATCHES`` listed ones."""
+    found = spread_join(rows, counts, "value", "node", counts)
+    lists = found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("list")).filter(F.size("list") >= MATCHES)
+    weight = F.aggregate("list", F.lit(0.0), lambda total, x: total + F.log2(x.n))
+    return lists.select("node", F.round(weight, 3).alias("weight"), F.col("list.value").alias("values"))
+
+
+def _met(lists: DataFrame) -> DataFrame:
+    """hub, node: the members of the lists of each hub, itself not among them."""
+    prefix = F.slice("values", 1, F.size("values") - F.lit(MATCHES - 1))
+    posts = lists.select("node", "weight", F.explode(prefix).alias("value"))
+    top = F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")
+    hubs = checkpointed(posts.groupBy("value").agg(top, F.count("*").alias("n")).filter("n > 1").select("value", (-F.col("top.minus")).alias("hub"), "n"))
+    joined = spread_join(posts.select("node", "value"), hubs.select("value", "hub"), "value", "node", hubs)
+    return checkpointed(joined.filter("hub <> node").groupBy("hub", "node").agg(F.count("*").alias("collisions")))
+
+
+def _with_partner(pairs: DataFrame, table: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
+    """Adds ``column`` of both ends (as ``own`` and ``its``) to pairs (hub, node)."""
+    own = table.select("node", F.col(column).alias("own"))
+    its = table.select(F.col("node").alias("hub"), F.col(column).alias("its"))
+    return spread_join(pairs.join(own, "node"), its, "hub", "node", sizes)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, set of the documents ``nodes``, from one further pass over the texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("shuffle_hash")
+    return checkpointed(_with_sets(texts.join(wanted, "node", "left_semi"), size))
+
+
+def _in_two_components(rows: DataFrame, key: str) -> DataFrame:
+    """Keys of rows (key, c) that two components or more hold, and how many rows they have."""
+    ends = rows.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
+    return checkpointed(ends.filter("low <> high").select(key, "n"))
+
+
+def _left_open(sets: DataFrame, lists: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+    """node, c, weight, values, set of the nodes that may be linked with another component; none where there is none."""
+    placed = lists.join(found, "node", "left").select("node", "values", F.coalesce("component", "node").alias("c"))
+    rows = placed.select("node", "c", F.explode("values").alias("value"))
+    open_lists = checkpointed(_listed(rows.select("node", "value"), _in_two_components(rows, "value")))
+    if open_lists.isEmpty():
+        return None
+    named = sets.join(open_lists.select("node"), "node", "left_semi").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.size("set").alias("n_set"), "set")
+    shingle_rows = named.select("node", "c", "n_set", F.explode("set").alias("shingle"))
+    shared = _in_two_components(shingle_rows, "shingle")
+    held = spread_join(shingle_rows.select("node", "n_set", "shingle"), shared.select("shingle"), "shingle", "node", shared).groupBy("node", "n_set").count()
+    able = held.filter(F.col("count") * 100 >= F.col("n_set") * percent).select("node")
+    return checkpointed(open_lists.join(named.select("node", "c", "set"), "node").join(able, "node", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     signed = checkpointed(_signed(docs, size))
-    rows = signed.select("doc_id", "n_shingles", "key")
-    classes = checkpointed(signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("values").alias("values")))
+    copies = F.count("*").alias("n")
+    classes = checkpointed(signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("values").alias("values"), copies))
 
     posted = classes.select("node", F.explode("values").alias("value"))
-    common = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = _salted_join(posted, common, "value", "node").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("list"))
-    take = F.size("list") - F.lit(MATCHES - 1)  # values that occur once come first and post nothing
-    weight = F.aggregate("list", F.lit(0.0), lambda total, x: total + F.log2(x.n))
-    prefix = ranked.filter(F.size("list") >= MATCHES).select("node", F.round(weight, 3).alias("weight"), F.explode(F.slice("list", 1, take)).alias("p"))
-    posts = checkpointed(prefix.select("node", "weight", F.col("p.value").alias("value")))
-
-    hubs = posts.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
-    joined = _salted_join(posts, hubs.select("value", (-F.col("top.minus")).alias("hub")), "value", "node").select("hub", "node")
-    met = checkpointed(joined.distinct())
-    pairs = met.filter("hub <> node").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    used = met.select("node").union(met.select("hub")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    sets = checkpointed(_with_sets(texts.join(used.hint("shuffle_hash"), "node", "left_semi"), size))
-    found = components(_verified(pairs, classes.select("node", "values"), sets, percent))
-
-    everyone = met.union(met.select("hub", F.col("hub").alias("node"))).distinct()
-    placed = everyone.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("c"))
-    sized = placed.join(sets.select("node", F.size("set").alias("s")), "node")
-    by_hub = sized.groupBy("hub").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.min("c").alias("low"), F.max("c").alias("high"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    open_hubs = by_hub.filter("low <> high AND n > 2").select("hub", blocks.alias("blocks"))
-    members = _salted_join(placed, open_hubs, "hub", "node").join(sets, "node")
-    found = components(_across_components(members, percent), found)
-
-    of_class = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return rows.join(of_class, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    counts = checkpointed(posted.groupBy("value").agg(copies).filter("n > 1"))
+    lists = checkpointed(_listed(posted, counts))
+    sets = _sets_of(docs, lists.select("node"), size)
+    met = _met(lists)
+    sizes = met.groupBy("hub").agg(copies)
+    collided = F.size(F.array_intersect("own", "its")) >= MATCHES
+    close = checkpointed(_with_partner(met.select("hub", "node"), lists, "values", sizes).filter(collided).select("hub", "node"))
+    sized = _with_partner(close, sets, "set", sizes).withColumn("both", F.size(F.array_intersect("own", "its")))
+    union = F.size("own") + F.size("its") - F.col("both")
+    found = components(sized.filter(F.col("both") * 100 >= union * percent).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+    rest = _left_open(sets, lists, found, percent)
+    if rest is not None:
+        groups = _met(rest)
+        everyone = groups.select("hub", "node").union(groups.select("hub", F.col("hub").alias("node"))).distinct()
+        owners = rest.select("node", "c", F.size("set").alias("s"))
+        by_part = everyone.join(owners, "node").groupBy("hub", "c").agg(copies, F.sum("s").alias("s"))
+        by_hub = by_part.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "c")).getField("c").alias("main"), F.min("c").alias("low"), F.max("c").alias("high"))
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        open_hubs = checkpointed(by_hub.filter("low <> high").select("hub", "main", blocks, "n"))
+        members = spread_join(everyone, open_hubs.select("hub", "main", "blocks"), "hub", "node", open_hubs)
+        found = components(_across_components(members.join(rest.drop("weight"), "node"), percent), found)
+
+    named = classes.join(found, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
+    rows = signed.select("doc_id", "n_shingles", "key")
+    placed = spread_join(rows.filter("key IS NOT NULL"), named.select("key", "component"), "key", "doc_id", classes.select("key", "n"))
+    everything = placed.select("doc_id", "n_shingles", "component").union(rows.filter("key IS NULL").select("doc_id", "n_shingles", "doc_id"))
+    return everything.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, *, size: int = 5, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one of smallest id.
 
-    Rows that share an id share the decision, and equal ones of them become one; rows without an id stay.
+    Rows that share an id stay or go together, and those that are equal in every column become one; rows without an id
+    stay.
     """
     judged = near_duplicates(docs.select("doc_id", "text"), size=size, percent=percent)
-    kept = judged.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(kept, docs.doc_id == F.col("__kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = judged.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates()
     return first.unionByName(docs.filter("doc_id IS NULL"))

@@ -343,3 +343,30 @@ def test_pipeline_against_its_parts(spark):
             assert out.columns == docs.columns
         state = out
     assert sorted(map(str, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(str, state.collect()))
+
+
+def test_hot_keys_and_blocks(spark, monkeypatch):
+    """Lists that no hub joins, in many blocks, with hot keys dealt to many tasks."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 20)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 10)
+    random = np.random.default_rng(8)
+    page = [f"t{k}" for k in range(100)]
+    docs = {}
+    for k in range(90):  # pages of one template that are just not similar enough, with some pairs that are
+        own = [f"o{k // 2}x{j}" for j in range(14)] if k % 3 == 0 else [f"o{k}y{j}" for j in range(14)]
+        docs[k] = " ".join(page + own)
+        docs[1000 + k] = " ".join(page[:60] + [f"o{k % 7}z{j}" for j in range(int(random.integers(20, 60)))])
+    docs |= {2000 + k: "one and the same text with many copies of it" for k in range(50)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(docs, 4)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(k % 3 and 7, k) for k in range(40)], "key long, row long")
+    few = spark.createDataFrame([(7, "a"), (0, "b"), (9, "c")], "key long, name string")
+    sizes = many.groupBy("key").count().withColumnRenamed("count", "n")
+    got = neardup.spread_join(many, few, "key", "row", sizes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "key").collect()))
