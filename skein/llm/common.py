@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ LETTERS_DIGITS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +54,19 @@ def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 
 
+def by_size(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each of one row or of at most ``most`` bytes in the string column ``at``."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).tolist()
+    start = size = 0
+    for k, own in enumerate(sizes):
+        if k > start and size + own > most:
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += own
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE_WORDS:

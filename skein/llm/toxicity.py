@@ -2,15 +2,17 @@
 
 Features: densities of a fixed and of a learned lexicon, how near its words stand to second-person pronouns,
 capitals, punctuation and obfuscation (words that only match once digits, signs or repeats are undone). What a word
-contributes depends on the word alone and is cached, so a text costs one look-up per word.
+contributes depends on the word alone and is cached; texts are measured in batches of bounded size.
 
-The fit reads at most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id, whole texts. They are split in
-three by that hash. The lexicon holds words and stems that occur in toxic texts almost only; the features of a training
-row come from a lexicon that was learned without its part, those of other texts from the lexicon of all parts. Two
-parts grow the trees, the third calibrates them.
+The fit reads at most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id, whole texts, and is cross-fitted
+over ``PARTS`` parts of them. The lexicon holds all words and stems that occur in toxic texts almost only; the features
+of a training row come from a lexicon that was learned without its part, those of other texts from that of all parts.
+Trees of each part's complement give the margins that the calibration is fitted on; the trees of all rows score.
 
 Defined results: null and empty texts get the calibrated score of a text without any word; repeated rows get equal
-scores; without a labelled row of each class every score is the share of label 1, or 0.
+scores; texts of any length are read whole; without labelled rows of both classes every score is the share of label 1,
+or 0 where there is none; rows without an id are scored and not held out; ``score`` reads no other column and
+``without_toxic`` keeps all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LETTERS_DIGITS, checkpointed, crc_remainder, text_bytes
+from skein.llm.common import LETTERS_DIGITS, by_size, checkpointed, crc_remainder, text_bytes
 
 TRAIN_ROWS = 20_000
-LEXICON_SIZE, CANDIDATES, PARTS = 4000, 50_000, 3
+PARTS, LEAST_TEXTS, PURITY, SURE_TEXTS, SURE_PURITY = 3, 3, 0.95, 6, 0.985
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 60, 3, 0.2, 32, 4, 1.0
 STEMS = (4, 5, 6, 7, 8)
 
@@ -44,7 +47,9 @@ _LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
 
 _SEED, _LEARNED, _SECOND, _CAPS, _HIDDEN, _MIXED, _SIGNS, _REPEATS, _STRONG = (1 << k for k in range(9))
 _REPEAT = re.compile(rb"(.)\1{2,}")
-_CACHE_WORDS = 200_000
+_MARKS = b".,;:!?\"'()[]{}*#%$&-"
+_CACHE_WORDS = 100_000
+_SLICE_CHARS = 2_000_000
 FEATURES = 17
 NEAR_WORDS = 6
 
@@ -64,26 +69,30 @@ class _Codes(dict):
     def __init__(self, learned: dict[bytes, int]):
         super().__init__()
         self.learned = learned
+        self.heads = {t[: STEMS[0]] for t in learned}  # most words are told apart by their first letters
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE_WORDS:
             self.clear()
-        bare = core(word)
+        inner = word.strip(_MARKS)
+        plain = inner.isalpha() and inner.islower()
+        bare = inner if plain else core(word)
         code = _SEED * (bare in LEXICON) | _SECOND * (bare in SECOND_PERSON)
-        rank = max((self.learned.get(t, 0) for t in terms_of(bare)), default=0)
-        code |= _LEARNED * (rank > 0) | _STRONG * (rank > 1)
-        inner = word.strip(b".,;:!?\"'()[]{}*#%$&-")
-        if len(inner) > 1 and inner.isupper():
-            code |= _CAPS
-        has_digit, has_letter = any(48 <= c <= 57 for c in inner), any(c >= 65 for c in inner)
-        code |= _MIXED * (has_digit and has_letter)
-        if len(inner) != len(core(inner)):
-            code |= _SIGNS
+        if bare[: STEMS[0]] in self.heads:
+            rank = max((self.learned.get(t, 0) for t in terms_of(bare)), default=0)
+            code |= _LEARNED * (rank > 0) | _STRONG * (rank > 1)
+        if not plain:
+            if len(inner) > 1 and inner.isupper():
+                code |= _CAPS
+            has_digit, has_letter = any(48 <= c <= 57 for c in inner), any(c >= 65 for c in inner)
+            code |= _MIXED * (has_digit and has_letter)
+            if len(inner) != len(core(inner)):
+                code |= _SIGNS
         if _REPEAT.search(inner):
             code |= _REPEATS
         if not code & _SEED and (code & (_MIXED | _SIGNS | _REPEATS)):
-            plain = core(inner.lower().translate(_LEET))
-            if plain in LEXICON or _REPEAT.sub(rb"\1", plain) in LEXICON:
+            seen = core(inner.lower().translate(_LEET))
+            if seen in LEXICON or _REPEAT.sub(rb"\1", seen) in LEXICON:
                 code |= _HIDDEN
         self[word] = code
         return code
@@ -95,25 +104,36 @@ for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _ALPHA[_c] = 4
 
 
-def features(text: str | None, codes: _Codes) -> np.ndarray:
-    data = text_bytes(text)
-    words = data.split()
-    n = len(words)
-    code = np.fromiter(map(codes.__getitem__, words), np.int32, n)
-    kinds = np.bincount(_ALPHA[np.frombuffer(data, np.uint8)], minlength=5) if data else np.zeros(5)
-    hit = np.flatnonzero(code & (_SEED | _LEARNED | _HIDDEN))
-    second = np.flatnonzero(code & _SECOND)
-    near = 0
+def _sums(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the stretches that start at ``begins``; those of none are 0."""
+    return np.where(counts > 0, np.add.reduceat(np.append(values, 0), begins), 0)
+
+
+def features(texts: list[str | None], codes: _Codes) -> np.ndarray:
+    """One row of ``FEATURES`` for each text."""
+    data = [text_bytes(t) for t in texts]
+    words = [d.split() for d in data]
+    n, size = np.array([len(w) for w in words]), np.array([len(d) for d in data])
+    begins, offsets = np.cumsum(n) - n, np.cumsum(size) - size
+    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int32, int(n.sum()))
+    flags = (_SEED, _LEARNED, _STRONG, _HIDDEN, _SECOND, _CAPS, _MIXED | _SIGNS, _REPEATS)
+    count = [_sums((code & flag > 0).astype(np.int64), begins, n) for flag in flags]
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    kinds = _ALPHA[raw]
+    capitals, signs = (_sums((kinds == k).astype(np.int64), offsets, size) for k in (2, 4))
+    shouts = np.array([d.count(b"!") for d in data])
+    near = np.zeros(len(data))
+    hit, second = np.flatnonzero(code & (_SEED | _LEARNED | _HIDDEN)), np.flatnonzero(code & _SECOND)
     if len(hit) and len(second):
-        left = np.searchsorted(second, hit)
-        gap = np.minimum(np.abs(hit - second[np.minimum(left, len(second) - 1)]), np.abs(hit - second[np.maximum(left - 1, 0)]))
-        near = int((gap <= NEAR_WORDS).sum())
-    count = [int(np.count_nonzero(code & flag)) for flag in (_SEED, _LEARNED, _STRONG, _HIDDEN, _SECOND, _CAPS, _MIXED, _SIGNS, _REPEATS)]
-    size, words_or_1 = max(len(data), 1), max(n, 1)
-    return np.array([
-        np.log1p(n), min(count[0], 50), min(count[1], 50), min(count[2], 50), min(count[3], 50),
-        count[0] / words_or_1, count[1] / words_or_1, count[2] / words_or_1, near, near / words_or_1, count[4] / words_or_1,
-        count[5] / words_or_1, kinds[2] / size, kinds[4] / size, data.count(b"!") / size, (count[6] + count[7]) / words_or_1, count[8] / words_or_1,
+        owner, other = (np.searchsorted(begins, x, "right") - 1 for x in (hit, second))
+        at, close = np.searchsorted(second, hit), np.zeros(len(hit), bool)
+        for side in (np.minimum(at, len(second) - 1), np.maximum(at - 1, 0)):
+            close |= (np.abs(hit - second[side]) <= NEAR_WORDS) & (owner == other[side])
+        near = np.bincount(owner[close], minlength=len(data))
+    per_word, per_byte = np.maximum(n, 1), np.maximum(size, 1)
+    return np.column_stack([
+        np.log1p(n), *(np.log1p(c) for c in count[:4]), count[0] / per_word, count[1] / per_word, count[2] / per_word, near, near / per_word,
+        count[4] / per_word, count[5] / per_word, capitals / per_byte, signs / per_byte, shouts / per_byte, count[6] / per_word, count[7] / per_word,
     ])
 
 
@@ -175,23 +195,22 @@ class Trees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots of a nondecreasing map; equal margins are pooled first."""
+    """Pool-adjacent-violators: knots of an increasing map through the centres of the blocks; equal margins are pooled first.
+
+    Beyond the outer centres the map still rises, so that ties of the margin alone are ties of the score.
+    """
     at, group = np.unique(margin, return_inverse=True)
     weight, total = np.bincount(group).astype(float), np.bincount(group, y)
     blocks: list[list[float]] = []
     for x, w, s in zip(at, weight, total, strict=True):
-        blocks.append([s, w, x, x])
+        blocks.append([s, w, x * w])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s2, w2, _, high = blocks.pop()
-            blocks[-1][0] += s2
-            blocks[-1][1] += w2
-            blocks[-1][3] = high
-    knots, values = [], []
-    for s, w, low, high in blocks:
-        value = (s + 0.01) / (w + 0.02)
-        knots += [low, high] if high > low else [low]
-        values += [value, value] if high > low else [value]
-    return np.array(knots), np.maximum.accumulate(np.array(values))
+            for k, value in enumerate(blocks.pop()):
+                blocks[-1][k] += value
+    sums, weights, moments = np.array(blocks).T
+    knots, values = moments / weights, np.maximum.accumulate((sums + 0.01) / (weights + 0.02))
+    reach = 2 * (at[-1] - at[0]) + 1
+    return np.concatenate([[at[0] - reach], knots, [at[-1] + reach]]), np.concatenate([[values[0] / 4], values, [1 - (1 - values[-1]) / 4]])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
@@ -233,27 +252,37 @@ def learn_lexicons(sample: DataFrame) -> list[dict[bytes, int]]:
     The first lexicons leave out one part each, the last is of all parts.
     """
     often = F.col("n0") + F.col("n1") + F.col("n2")
-    toxic = _term_counts(sample.filter("y = 1"), None).filter(often >= 3).orderBy(F.desc(often), "term").limit(CANDIDATES).collect()
+    toxic = _term_counts(sample.filter("y = 1"), None).filter(often >= LEAST_TEXTS).collect()  # terms of at most TRAIN_ROWS texts
     toxic_counts = {bytes(r.term): np.array([r.n0, r.n1, r.n2]) for r in toxic}
     clean = _term_counts(sample.filter("y = 0"), frozenset(toxic_counts)).collect() if toxic_counts else []
     clean_counts = {bytes(r.term): np.array([r.n0, r.n1, r.n2]) for r in clean}
     sizes = {y: np.zeros(PARTS) for y in (0, 1)}
     for r in sample.groupBy("y", (F.col("h") % PARTS).alias("k")).count().collect():
         sizes[r.y][r.k] = r["count"]
+    terms = sorted(toxic_counts)
+    hits = np.array([toxic_counts[t] for t in terms]).reshape(-1, PARTS)
+    misses = np.array([clean_counts.get(t, np.zeros(PARTS)) for t in terms]).reshape(-1, PARTS)
     out = []
     for left_out in (*range(PARTS), None):
         used = np.array([k != left_out for k in range(PARTS)])
         n_toxic, n_clean = max(sizes[1][used].sum(), 1), max(sizes[0][used].sum(), 1)
-        found = []
-        for term, n in toxic_counts.items():
-            hits, misses = n[used].sum(), clean_counts[term][used].sum() if term in clean_counts else 0
-            purity = hits / n_toxic / (hits / n_toxic + (misses + 0.5) / n_clean) if hits else 0.0
-            if hits >= 3 and purity >= 0.95:
-                found.append((-hits, term, 2 if purity >= 0.985 and hits >= 6 else 1))
-        out.append({term: rank for _, term, rank in sorted(found)[:LEXICON_SIZE]})
+        found = hits[:, used].sum(1)
+        share = found / n_toxic
+        purity = share / (share + (misses[:, used].sum(1) + 0.5) / n_clean)
+        rank = 1 * ((found >= LEAST_TEXTS) & (purity >= PURITY)) + ((found >= SURE_TEXTS) & (purity >= SURE_PURITY))
+        out.append({terms[k]: int(rank[k]) for k in np.flatnonzero(rank)})
     return out
 
 
+def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[Trees, tuple[np.ndarray, np.ndarray]]:
+    """Trees of all rows, and the calibration of margins that each part gets from trees of the others."""
+    trees, margin = Trees(x, y), np.zeros(len(y))
+    for k in np.unique(part):
+        own = part == k
+        margin[own] = (Trees(x[~own], y[~own]) if not own.all() else trees).margin(x[own])
+    return trees, isotonic(margin, y)
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS) -> dict:
     sample = labelled_sample(docs, labels, "toxic", usable, max_rows)
     lexicons = learn_lexicons(sample)
@@ -261,27 +290,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [_Codes(x) for x in lexicons]
         for batch in batches:
-            made = [features(t.as_py(), codes[h % PARTS]).tobytes() for t, h in zip(batch.column(3), batch.column(1).to_pylist(), strict=True)]
+            made: list[bytes] = []
+            for part in by_size(batch, 3, _SLICE_CHARS):
+                texts, parts = part.column(3).to_pylist(), np.array(part.column(1).to_pylist()) % PARTS
+                x = np.zeros((len(texts), FEATURES))
+                for k in np.unique(parts):
+                    x[parts == k] = features([texts[i] for i in np.flatnonzero(parts == k)], codes[k])
+                made += [row.tobytes() for row in x]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["doc_id", "h", "y", "x"])
 
     rows = sample.select("doc_id", "h", "y", "text").mapInArrow(run, "doc_id long, h long, y int, x binary").collect()
     rows = sorted((r.h, r.doc_id, r.y, bytes(r.x)) for r in rows)
     y = np.array([r[2] for r in rows], float)
-    if len(rows) < 8 or not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y):
         return {"learned": lexicons[-1], "constant": float(y.mean()) if len(y) else 0.0}
-    x = np.array([np.frombuffer(r[3]) for r in rows])
-    held = np.array([r[0] % PARTS == 2 for r in rows])
-    if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
-        held = np.arange(len(y)) % 2 == 0
-    trees = Trees(x[~held], y[~held]) if 0 < y[~held].sum() < (~held).sum() else Trees(x, y)
-    return {"learned": lexicons[-1], "trees": trees, "knots": isotonic(trees.margin(x[held]), y[held])}
+    trees, knots = fit(np.array([np.frombuffer(r[3]) for r in rows]), y, np.array([r[0] % PARTS for r in rows]))
+    return {"learned": lexicons[-1], "trees": trees, "knots": knots}
 
 
 def score_batch(model: dict, texts: list[str | None], codes: _Codes) -> np.ndarray:
-    if "constant" in model:
-        return np.full(len(texts), model["constant"])
-    x = np.array([features(t, codes) for t in texts]).reshape(len(texts), FEATURES)
-    return np.interp(model["trees"].margin(x), *model["knots"])
+    if "constant" in model or not texts:
+        return np.full(len(texts), model.get("constant", 0.0))
+    return np.interp(model["trees"].margin(features(texts, codes)), *model["knots"])
 
 
 def score(docs: DataFrame, model: dict, modulus: int = 5, held: int = 0) -> DataFrame:
@@ -291,8 +321,9 @@ def score(docs: DataFrame, model: dict, modulus: int = 5, held: int = 0) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(model["learned"])
         for batch in batches:
-            scores = score_batch(model, batch.column(2).to_pylist(), codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            for part in by_size(batch, 2, _SLICE_CHARS):
+                scores = score_batch(model, part.column(2).to_pylist(), codes)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -304,6 +335,7 @@ def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(model["learned"])
         for batch in batches:
-            yield batch.filter(pa.array(score_batch(model, batch.column(at).to_pylist(), codes) < 0.5))
+            for part in by_size(batch, at, _SLICE_CHARS):
+                yield part.filter(pa.array(score_batch(model, part.column(at).to_pylist(), codes) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from skein.llm import decontaminate, licenses, media, mixing, neardup, queries, secrets, substring
+from skein.llm import decontaminate, licenses, media, mixing, neardup, queries, secrets, substring, toxicity
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -370,3 +370,69 @@ def test_spread_join(spark, monkeypatch):
     sizes = many.groupBy("key").count().withColumnRenamed("count", "n")
     got = neardup.spread_join(many, few, "key", "row", sizes)
     assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "key").collect()))
+
+
+def test_isotonic_against_min_max():
+    """The isotonic fit is max over starts of min over ends of means; the map passes through its blocks' centres."""
+    random = np.random.default_rng(6)
+    margin = np.round(random.normal(size=80), 1)
+    y = (random.random(80) < 1 / (1 + np.exp(-2 * margin))).astype(float)
+    at = np.unique(margin)
+    w, s = np.array([(margin == x).sum() for x in at]), np.array([y[margin == x].sum() for x in at])
+    mean = lambda i, j: s[i : j + 1].sum() / w[i : j + 1].sum()
+    want = np.array([max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    knots, values = toxicity.isotonic(margin, y)
+    assert (np.diff(knots) > 0).all() and (np.diff(values) >= 0).all() and len(values) == len(np.unique(np.round(want, 9))) + 2
+    for level, knot, value in zip(np.unique(np.round(want, 9)), knots[1:-1], values[1:-1], strict=True):
+        own = np.abs(want - level) < 1e-6
+        assert knot == pytest.approx((at * w)[own].sum() / w[own].sum()) and value == pytest.approx((s[own].sum() + 0.01) / (w[own].sum() + 0.02))
+    wide = np.linspace(-9, 9, 50)
+    assert (np.diff(np.interp(wide, knots, values)) >= 0).all()
+
+
+def test_trees_against_exhaustive_search(monkeypatch):
+    """The first split is the best of all; a deep ensemble learns an exclusive-or."""
+    random = np.random.default_rng(7)
+    x = random.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (random.random(200) < 0.1)).astype(float)
+    monkeypatch.setattr(toxicity, "DEPTH", 1)
+    monkeypatch.setattr(toxicity, "TREES", 1)
+    trees = toxicity.Trees(x, y)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = p - y, np.full(200, p * (1 - p))
+
+    def part(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + toxicity.RIDGE)
+
+    best = max((part(x[:, f] < c) + part(x[:, f] >= c), f, c) for f in range(3) for c in np.unique(x[:, f])[1:])
+    feature, cut, value = trees.trees[0]
+    low = x[:, feature[0]] < cut[0]
+    assert part(low) + part(~low) == pytest.approx(best[0])
+    assert value == pytest.approx([-toxicity.RATE * g[r].sum() / (h[r].sum() + toxicity.RIDGE) for r in (low, ~low)])
+    assert trees.margin(x) == pytest.approx(trees.base + np.where(low, value[0], value[1]))
+    monkeypatch.undo()
+    both = ((x[:, 0] > 4) ^ (x[:, 2] > 4)).astype(float)
+    assert (((toxicity.Trees(x, both).margin(x) > 0) == both) | (x[:, 0] == 4)).mean() > 0.97
+
+
+def test_toxicity_features_against_loops():
+    learned = {b"grim": 2, b"nast*": 1}
+    texts = ["", None, "YOU are a St0op!d grim idiot!!", "nastily nasty words", "soooo bad idi0t x9 " + "word " * 9 + "tu", "Été à LA mer"] * 2
+    got = toxicity.features(texts, toxicity._Codes(learned))
+    for row, text in zip(got, texts, strict=True):
+        data = (text or "").encode()
+        words = data.split()
+        codes = [toxicity._Codes(learned)[w] for w in words]
+        has = lambda flag: [k for k, c in enumerate(codes) if c & flag]
+        hits, you = has(toxicity._SEED | toxicity._LEARNED | toxicity._HIDDEN), has(toxicity._SECOND)
+        near = sum(any(abs(k - j) <= toxicity.NEAR_WORDS for j in you) for k in hits)
+        n, size = max(len(words), 1), max(len(data), 1)
+        signs = sum(33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 for c in data)
+        seed, mine, sure, hidden = (len(has(f)) for f in (toxicity._SEED, toxicity._LEARNED, toxicity._STRONG, toxicity._HIDDEN))
+        assert row == pytest.approx([
+            np.log1p(len(words)), *np.log1p([seed, mine, sure, hidden]), seed / n, mine / n, sure / n, near, near / n, len(you) / n,
+            len(has(toxicity._CAPS)) / n, sum(65 <= c <= 90 for c in data) / size, signs / size, data.count(b"!") / size,
+            len(has(toxicity._MIXED | toxicity._SIGNS)) / n, len(has(toxicity._REPEATS)) / n,
+        ])
+    assert toxicity._Codes(learned)[b"nastily"] & toxicity._LEARNED and toxicity._Codes(learned)[b"Grim,"] & toxicity._STRONG
+    assert toxicity._Codes(learned)[b"idi0t"] & toxicity._HIDDEN and not toxicity._Codes(learned)[b"grimly"] & toxicity._LEARNED
