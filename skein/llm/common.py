@@ -75,7 +75,15 @@ class _WordHashes(dict):
         return value
 
 
-_words = _WordHashes()
+class _WordDigests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_128_digest(word)
+        return value
+
+
+_words, _digests = _WordHashes(), _WordDigests()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -83,6 +91,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """128-bit hashes of words, a row of two numbers for each."""
+    return np.frombuffer(b"".join(map(_digests.__getitem__, words)), np.uint64).reshape(-1, 2)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits (a public avalanche construction: xor-shift and odd multipliers)."""
     x = x ^ (x >> np.uint64(32))

@@ -3,16 +3,21 @@
 Documents are dealt into chunks by their id and windows into blocks by their hash; chunks and blocks write each
 other packed messages, so no window is a row of its own.
 
-1. Each chunk sketches its windows: two rows of saturating counters in every block, sent as the sorted cells in
-   use. A block adds the sketches of all chunks and answers each of them with the cells that reach two. Counts can
-   only be too high, so no repeated window is lost.
-2. Each chunk sends the windows whose two cells both reach two, once each: hash, smallest doc_id and whether the
-   chunk starts it more than once is settled inside the chunk. A block groups them exactly by 96 bits and answers,
-   for each, whether a document of smaller id starts it elsewhere.
+1. Each chunk sketches its windows: two rows of saturating counters in every block, sent as the cells in use. A block
+   adds the sketches of all chunks and answers each of them with the cells that reach two. Counts can only be too
+   high, so no repeated window is lost.
+2. Each chunk sends the windows whose two cells both reach two, once each: hashes and smallest doc_id; whether the
+   chunk starts it more than once is settled inside the chunk. A block groups them and answers, for each, whether a
+   document of smaller id starts it elsewhere.
 3. Each chunk marks the words of the windows that a smaller document starts, and removes them.
 
-Numbers of chunks and blocks follow the bytes of the table; a window that occurs everywhere is one entry per chunk,
-and no message grows with how often it occurs.
+Windows are equal if 128 bits are: two sums over the 13 words, modulo 2^64, of the two halves of 128-bit word hashes
+and powers of two odd numbers. Two different windows collide in one half with a probability of at most 2^-60 (the
+difference of two powers can lose a few low bits), in both with 2^-120; among 10^13 windows that is below 10^-10.
+
+Numbers of chunks and blocks follow the bytes of the table. A message grows with the windows that it speaks of and no
+window is in two messages of a chunk, so all messages together grow with the text; a window that occurs everywhere is
+one entry per chunk.
 
 Defined results: a null or short text has no window and loses nothing; rows that repeat an id count as one document
 and none of them is the smaller; a row without an id neither removes nor loses words; an empty table gives an
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import mix64, text_bytes, word_hashes
+from skein.llm.common import mix64, text_bytes, word_digests
 
 WINDOW = 13
 CHUNK_BYTES = 12 << 20
@@ -36,83 +41,89 @@ CHUNK_BYTES = 12 << 20
 BLOCK_BYTES, CELL_BITS = 24 << 20, 24
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _inverse(odd: np.uint64) -> np.uint64:
-    x = int(odd)
-    y = x
-    for _ in range(6):
-        y = y * (2 - x * y) & ((1 << 64) - 1)
-    return np.uint64(y)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_CELLS = np.uint64((1 << CELL_BITS) - 1)
 
 
 def rolling(hashes: np.ndarray, base: np.uint64, window: int) -> np.ndarray:
-    """Hash of every run of ``window`` words, from one running sum."""
+    """Hash of every run of ``window`` words, put together from runs of powers of two."""
     n = len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, len(hashes)))])
-    return mix64((total[window:] - total[:-window]) * _powers(_inverse(base), n))
-
-
-def pack(sorted_cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as steps of one byte; 255 means 255 more and no end yet."""
-    steps = np.diff(sorted_cells.astype(np.int64), prepend=-1) - 1
-    full = steps // 255
-    ends = np.cumsum(full + 1) - 1
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
-    out[ends] = steps % 255
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    last = raw != 255
-    return (np.cumsum(raw, dtype=np.int64) + np.cumsum(last))[last] - 1
+    total, done, run, size, weight = np.zeros(n, np.uint64), 0, hashes, 1, int(base)
+    while True:
+        if window & size:
+            total = total * np.uint64(weight) + run[done : done + n]
+            done += size
+        if done == window:
+            return mix64(total)
+        run = run[:-size] * np.uint64(weight) + run[size:]
+        size, weight = size * 2, weight * weight & ((1 << 64) - 1)
+
+
+def pack(numbers: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """The stretches between ``edges`` of unsigned numbers below 2^28, in groups of seven bits, the low ones first."""
+    numbers = numbers.astype(np.uint32)
+    width = np.ones(len(numbers), np.int64)
+    for k in (1, 2, 3):
+        width += numbers >> np.uint32(7 * k) > 0
+    ends = np.concatenate([[0], np.cumsum(width)])
+    out = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(4):
+        some = np.flatnonzero(width > k)
+        out[ends[some] + k] = (numbers[some] >> np.uint32(7 * k) & np.uint32(127)) | ((width[some] > k + 1) * 128).astype(np.uint32)
+    data, cuts = out.tobytes(), ends[edges].tolist()
+    return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all stretches, and where each stretch begins and the last ends."""
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    value = raw[last].astype(np.int64) << 7 * (last - first)
+    for k in range(3):
+        more = np.flatnonzero(last - first > k)
+        value[more] += (raw[first[more] + k].astype(np.int64) & 127) << 7 * k
+    edges = np.searchsorted(last, np.concatenate([[0], np.cumsum([len(d) for d in data])]), "left")
+    return value, edges
 
 
 class Chunk:
-    """The words and windows of a chunk's documents, in order of their ids."""
+    """The windows of a chunk's documents, in order of their ids."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], window: int, blocks: int):
-        self.ids, self.window = ids, window
-        self.words = [text_bytes(t).split() for t in texts]
-        counts = np.array([len(w) for w in self.words], np.int64)
-        self.first = np.cumsum(counts) - counts
-        flat = np.concatenate([word_hashes(w) for w in self.words]) if ids else np.zeros(0, np.uint64)
-        self.size = len(flat)
-        starts = np.arange(max(len(flat) - window + 1, 0))
-        owner = np.repeat(np.arange(len(ids)), counts)[: len(starts)]
+        self.ids, self.texts, self.window = ids, texts, window
+        counts, digests = np.zeros(len(ids), np.int64), []
+        for k, text in enumerate(texts):
+            words = text_bytes(text).split()
+            counts[k] = len(words)
+            digests.append(word_digests(words))
+        self.first, self.size = np.cumsum(counts) - counts, int(counts.sum())
+        flat = np.concatenate(digests) if digests else np.zeros((0, 2), np.uint64)
+        digests.clear()
         named = np.array([i is not None for i in ids], bool)
-        inside = (starts + window <= (self.first + counts)[owner]) & named[owner] if len(starts) else np.zeros(0, bool)
-        self.at = np.flatnonzero(inside)
-        h1, h2 = rolling(flat, _A, window)[self.at], rolling(flat, _B, window)[self.at]
-        number = np.array([0 if i is None else i for i in ids], np.int64)
-        doc = number[owner[self.at]]
-        order = np.argsort(h1, kind="stable")  # documents come in order of their ids, so equal windows do too
-        self.h1, self.h2, self.doc, self.at = h1[order], h2[order].astype(np.uint32), doc[order], self.at[order]
-        self.block = ((self.h1 >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        new = np.ones(len(order), bool)
-        new[1:] = (self.h1[1:] != self.h1[:-1]) | (self.h2[1:] != self.h2[:-1])
-        self.new = new
-        self.group = np.cumsum(new) - 1  # number of the distinct window
-        self.low = self.doc[new]  # its smallest document here
-        self.blocks, self.edges = np.unique(self.block, return_index=True)
-        self.edges = np.append(self.edges, len(order))
+        counts = np.where(named, np.maximum(counts - window + 1, 0), 0)  # windows of each document
+        owner = np.repeat(np.arange(len(ids)), counts)
+        self.at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + self.first[owner]
+        self.h1 = rolling(np.ascontiguousarray(flat[:, 0]), _A, window)[self.at]
+        self.h2 = rolling(np.ascontiguousarray(flat[:, 1]), _B, window)[self.at]
+        self.doc = np.array([0 if i is None else i for i in ids], np.int64)[owner]
+        self.blocks = np.uint64(blocks)
 
-    def parts(self) -> Iterator[tuple[int, slice]]:
-        for k, block in enumerate(self.blocks):
-            yield int(block), slice(self.edges[k], self.edges[k + 1])
+    def block_of(self, h1: np.ndarray) -> np.ndarray:
+        return (h1 >> np.uint64(32)) * self.blocks >> np.uint64(32)
+
+    def cells(self) -> Iterator[np.ndarray]:
+        """Block and cell of every window, as one number, for each row of the sketch."""
+        block = self.block_of(self.h1) << np.uint64(CELL_BITS)
+        yield block | self.h1 & _CELLS
+        yield block | self.h2 & _CELLS
 
-    def cells(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
-        low = self.h1[part] & np.uint64((1 << CELL_BITS) - 1)
-        return low.astype(np.int64), (self.h2[part] >> np.uint32(32 - CELL_BITS)).astype(np.int64)
+
+def _edges(sorted_cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that sorted cells are in, and where each begins and the last ends."""
+    blocks, first = np.unique(sorted_cells >> np.uint64(CELL_BITS), return_index=True)
+    return blocks.astype(np.int64), np.append(first, len(sorted_cells))
 
 
 def _bits(data: bytes, n: int) -> np.ndarray:
@@ -125,51 +136,67 @@ def _chunk_of(table: pa.Table, window: int, blocks: int) -> Chunk:
     return Chunk([ids[k] for k in order], [texts[k] for k in order], window, blocks)
 
 
-def _sketch(chunk: Chunk) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
-    out = []
-    for block, part in chunk.parts():
-        lists = []
-        for cells in chunk.cells(part):
-            found, count = np.unique(cells, return_counts=True)
-            lists += [pack(found), np.packbits(count > 1).tobytes()]
-        out.append((block, *lists))
-    return out
+def _sketch(chunk: Chunk) -> list[tuple[int, bytes, bytes]]:
+    """For each block and row the steps from cell to cell, and in the lowest bit whether the chunk has the cell twice."""
+    rows = []
+    for cells in chunk.cells():
+        cells.sort()
+        first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
+        more = np.diff(first, append=len(cells)) > 1
+        cells = cells[first]
+        blocks, edges = _edges(cells)
+        cells &= _CELLS
+        steps = np.diff(cells.astype(np.int64), prepend=0)
+        steps[edges[:-1]] = cells[edges[:-1]]
+        rows.append(pack(steps * 2 + more, edges))
+    return list(zip(blocks.tolist(), *rows, strict=True)) if chunk.size else []
 
 
 def _suspects(chunk: Chunk, answers: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
-    """Which windows have both cells reaching two; ``answers`` has a bit for each cell that was sent."""
-    out = np.zeros(len(chunk.h1), bool)
-    reached = np.zeros(1 << CELL_BITS, bool)
-    for block, part in chunk.parts():
-        both = np.ones(part.stop - part.start, bool)
-        for cells, bits in zip(chunk.cells(part), answers[block], strict=True):
-            found = np.unique(cells)
-            reached[found] = _bits(bits, len(found))  # every cell that is looked up is set first
-            both &= reached[cells]
-        out[part] = both
-    return out
-
+    """Positions of the windows whose cells both reach two; ``answers`` has a bit for each cell that was sent."""
+    left = np.arange(len(chunk.h1))
+    for k, cells in enumerate(chunk.cells()):
+        own = np.unique(cells)
+        blocks, edges = _edges(own)
+        reached = np.concatenate([np.zeros(0, bool), *(_bits(answers[b][k], n) for b, n in zip(blocks.tolist(), np.diff(edges).tolist(), strict=True))])
+        own = own[reached]  # few of all, and looked up for those that are left
+        if not len(own):
+            return left[:0]
+        asked = cells[left]
+        left = left[own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked]
+    return left
+
+
+class Questions:
+    """The distinct windows among the suspects, in order of their hashes, and the smallest document of each here."""
+
+    def __init__(self, chunk: Chunk, suspects: np.ndarray):
+        h1, h2 = chunk.h1[suspects], chunk.h2[suspects]
+        order = np.lexsort((h2, h1))
+        self.where, h1, h2 = suspects[order], h1[order], h2[order]
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)]
+        first = np.flatnonzero(new)
+        self.h1, self.h2, self.group = h1[first], h2[first], np.cumsum(new) - 1
+        self.low = np.minimum.reduceat(chunk.doc[self.where], first) if len(first) else chunk.doc[:0]
+        blocks, edges = np.unique(chunk.block_of(self.h1), return_index=True)
+        self.blocks, self.edges = blocks.astype(np.int64).tolist(), [*edges.tolist(), len(first)]
 
-def _questions(chunk: Chunk, suspects: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each block the positions, in order, of the distinct windows that are asked about."""
-    asked = chunk.new & suspects
-    for block, part in chunk.parts():
-        where = np.flatnonzero(asked[part]) + part.start
-        if len(where):
-            yield block, where
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        for block, i, j in zip(self.blocks, self.edges, self.edges[1:], strict=False):
+            yield block, slice(i, j)
 
 
 def _removed(chunk: Chunk, answers: dict[int, tuple[bytes, bytes]], verdicts: dict[int, bytes]) -> list[tuple]:
-    suspects = _suspects(chunk, answers) if len(chunk.h1) else np.zeros(0, bool)
-    elsewhere = np.zeros(len(chunk.low), bool)
-    for block, where in _questions(chunk, suspects):
-        elsewhere[chunk.group[where]] = _bits(verdicts[block], len(where))
-    hit = elsewhere[chunk.group] | (chunk.doc > chunk.low[chunk.group]) if len(chunk.h1) else np.zeros(0, bool)
-    begun = np.bincount(chunk.at[hit], minlength=chunk.size + 1)
-    depth = begun - np.bincount(chunk.at[hit] + chunk.window, minlength=chunk.size + 1)
+    asked = Questions(chunk, _suspects(chunk, answers))
+    elsewhere = np.zeros(len(asked.low), bool)
+    for block, part in asked.parts():
+        elsewhere[part] = _bits(verdicts[block], part.stop - part.start)
+    hit = chunk.at[asked.where[elsewhere[asked.group] | (chunk.doc[asked.where] > asked.low[asked.group])]]
+    depth = np.bincount(hit, minlength=chunk.size + 1) - np.bincount(hit + chunk.window, minlength=chunk.size + 1)
     gone = np.cumsum(depth)[:-1] > 0
     out = []
-    for doc_id, words, first in zip(chunk.ids, chunk.words, chunk.first, strict=True):
+    for doc_id, text, first in zip(chunk.ids, chunk.texts, chunk.first, strict=True):
+        words = text_bytes(text).split()
         own = gone[first : first + len(words)]
         kept = [w for w, g in zip(words, own.tolist(), strict=True) if not g] if own.any() else words
         out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept)))
@@ -180,7 +207,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-_SKETCH = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("cells0", "more0", "cells1", "more1"))])
+_SKETCH = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("cells0", pa.binary()), ("cells1", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("bits0", pa.binary()), ("bits1", pa.binary())])
 _QUESTION = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("low", pa.binary())])
 _VERDICT = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("bits", pa.binary())])
@@ -193,31 +220,30 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _merge_sketches(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    out = [[r["chunk"], r["block"]] for r in rows]
-    for k in "01":
+    bits = []
+    for name in ("cells0", "cells1"):
+        steps, edges = unpack(table.column(name).to_pylist())
+        more, steps = (steps & 1).astype(np.uint8), steps >> 1
         count = np.zeros(1 << CELL_BITS, np.uint8)
-        for r in rows:
-            cells = unpack(r["cells" + k])
-            count[cells] = np.minimum(count[cells] + 1 + _bits(r["more" + k], len(cells)), 2)
-        for o, r in zip(out, rows, strict=True):
-            o.append(np.packbits(count[unpack(r["cells" + k])] > 1).tobytes())
-    return _table([tuple(o) for o in out], _ANSWER)
+        cells = [np.cumsum(steps[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        for own, i, j in zip(cells, edges, edges[1:], strict=False):
+            count[own] = np.minimum(count[own] + 1 + more[i:j], 2)
+        bits.append(pa.array([np.packbits(count[own] > 1).tobytes() for own in cells], pa.binary()))
+    return pa.Table.from_arrays([table.column("chunk"), table.column("block"), *bits], schema=_ANSWER)
 
 
 def _merge_questions(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    lists = [[np.frombuffer(r[n], kind) for r in rows] for n, kind in (("h1", np.uint64), ("h2", np.uint32), ("low", np.int64))]
+    lists = [[np.frombuffer(x, kind) for x in table.column(n).to_pylist()] for n, kind in (("h1", np.uint64), ("h2", np.uint64), ("low", np.int64))]
     h1, h2, low = (np.concatenate(x) for x in lists)
     order = np.lexsort((low, h2, h1))
     a, b = h1[order], h2[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     smallest = low[order][new][np.cumsum(new) - 1]
     verdict = np.empty(len(order), bool)
     verdict[order] = smallest < low[order]
     ends = np.cumsum([len(x) for x in lists[0]])[:-1]
-    return _table([(r["chunk"], r["block"], np.packbits(v).tobytes()) for r, v in zip(rows, np.split(verdict, ends), strict=True)], _VERDICT)
+    bits = pa.array([np.packbits(v).tobytes() for v in np.split(verdict, ends)], pa.binary())
+    return pa.Table.from_arrays([table.column("chunk"), table.column("block"), bits], schema=_VERDICT)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -238,7 +264,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
             return _table([], _QUESTION)
         chunk, number = _chunk_of(left, window, blocks), left.column("chunk")[0].as_py()
         answers = {r["block"]: (r["bits0"], r["bits1"]) for r in right.to_pylist()}
-        rows = [(number, b, chunk.h1[w].tobytes(), chunk.h2[w].tobytes(), chunk.low[chunk.group[w]].tobytes()) for b, w in _questions(chunk, _suspects(chunk, answers))]
+        asked = Questions(chunk, _suspects(chunk, answers))
+        rows = [(number, b, asked.h1[w].tobytes(), asked.h2[w].tobytes(), asked.low[w].tobytes()) for b, w in asked.parts()]
         return _table(rows, _QUESTION)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -254,7 +281,3 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     verdicts = questions.groupBy("block").applyInArrow(_merge_questions, _ddl(_VERDICT))
     replies = answers.unionByName(verdicts, allowMissingColumns=True).repartition(chunks, "chunk")
     return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, _ddl(_RESULT))
-
-
-
-

@@ -79,10 +79,32 @@ def test_substring_against_brute_force(spark, monkeypatch):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
-def test_packed_cells():
-    cells = np.unique(np.random.default_rng(2).integers(0, 1 << 24, 5000))
-    assert (substring.unpack(substring.pack(cells)) == cells).all() and len(substring.unpack(substring.pack(cells[:0]))) == 0
-    assert (substring.unpack(substring.pack(np.array([0, 255, 256, 511, 1021]))) == [0, 255, 256, 511, 1021]).all()
+def test_packed_numbers():
+    random = np.random.default_rng(2)
+    numbers = np.concatenate([random.integers(0, 1 << b, 500) for b in (1, 7, 8, 14, 15, 21, 25, 28)] + [[0, 127, 128, 16383, 16384, (1 << 28) - 1]])
+    edges = np.array([0, 0, 700, 701, 701, len(numbers)])
+    back, found = substring.unpack(substring.pack(numbers, edges))
+    assert (back == numbers).all() and (found == edges).all()
+    assert substring.pack(numbers[:0], np.array([0])) == [] and len(substring.unpack([])[0]) == 0
+
+
+def test_rolling_against_loops():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 60, dtype=np.uint64)
+    for window in (1, 2, 5, 8, 13, 16):
+        sums = [sum(int(x) * pow(int(substring._A), window - 1 - j, 1 << 64) for j, x in enumerate(h[i : i + window])) % (1 << 64) for i in range(60 - window + 1)]
+        assert (substring.rolling(h, substring._A, window) == substring.mix64(np.array(sums, np.uint64))).all()
+    assert len(substring.rolling(h[:3], substring._A, 4)) == 0
+
+
+def test_messages_grow_with_the_text():
+    """Four times the chunks and blocks have to send about four times the bytes, not sixteen times."""
+    random = np.random.default_rng(4)
+
+    def sent(chunks):
+        made = [substring.Chunk([k], [" ".join(map(str, random.integers(0, 10**6, 5000)))], 13, 8 * chunks) for k in range(chunks)]
+        return sum(len(c0) + len(c1) for m in made for _, c0, c1 in substring._sketch(m))
+
+    assert sent(48) < 4.6 * sent(12)
 
 
 def brute_components(docs, size, percent=80):
