@@ -6,7 +6,8 @@ does not grow with the height of a picture.
 
 Defined results: a null text counts as empty, an empty one is stored as 64 zero bytes; texts of any length are stored
 whole; equal texts give equal values, repeated rows one row each; an empty table gives an empty result; a null, empty
-or broken picture gets nulls and a reason; other columns are not read.
+or broken picture gets nulls and a reason; a sample above its depth is a broken picture; tiles are 8 bits of the depth;
+other columns are kept by ``media_tiles``, but for those of the names it adds, and not read by ``text_media``.
 """
 
 from __future__ import annotations
@@ -55,7 +56,17 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + info + palette.tobytes() + rows.tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
+def _samples(data: bytes, kind: type | np.dtype | str, count: int, at: int) -> np.ndarray:
+    """``count`` samples from ``at`` on; sizes of broken headers are compared as whole numbers of any length."""
+    if count <= 0:
+        raise ValueError("no pixels")
+    if at < 0 or count * np.dtype(kind).itemsize > len(data) - at:
+        raise ValueError("the picture is cut short")
+    return np.frombuffer(data, kind, count, at)
+
+
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples as stored and the largest value they may take; bitmaps become 0 and 255."""
     head = _NETPBM.match(data)
     if not head:
         raise ValueError("not a Netpbm picture")
@@ -66,25 +77,28 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         if not depth:
             raise ValueError("no sample depth")
         high, at = int(depth[1]), depth.end()
+        if not 0 < high < 65536:
+            raise ValueError("no sample depth of 1 to 65535")
     planes = 3 if kind in (3, 6) else 1
     count = width * height * planes
     if kind == 4:
         stride = -(-width // 8)
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)
-        return (1 - bits[:, :width]) * np.uint8(255)
+        bits = np.unpackbits(_samples(data, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)
+        return (1 - bits[:, :width]) * np.uint8(255), 255
     if kind in (5, 6):
-        kinds = np.uint8 if high < 256 else np.dtype(">u2")
-        flat = np.frombuffer(data, kinds, count, at + 1)
+        flat = _samples(data, np.uint8 if high < 256 else ">u2", count, at + 1)
     else:
         body = re.sub(rb"#[^\r\n]*", b"", data[at:])
         digits = re.findall(rb"[01]", body) if kind == 1 else body.split()
-        flat = np.array(digits[:count], dtype=np.int64)
+        if not 0 < count <= len(digits):
+            raise ValueError("the picture is cut short" if count else "no pixels")
+        values = [int(x) for x in digits[:count]]
+        if not 0 <= min(values) <= max(values) <= high:
+            raise ValueError("a sample is outside of the depth")
         if kind == 1:
-            return ((1 - flat) * 255).astype(np.uint8).reshape(height, width)
-        flat = flat.astype(np.uint8 if high < 256 else np.uint16)
-    if flat.size < count:
-        raise ValueError("the picture is cut short")
-    return flat.reshape((height, width, 3) if planes == 3 else (height, width))
+            return ((1 - np.array(values, np.uint8)) * 255).reshape(height, width), 255
+        flat = np.array(values, np.uint8 if high < 256 else np.uint16)
+    return flat.reshape((height, width, 3) if planes == 3 else (height, width)), high
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -95,22 +109,28 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packed or depth not in (8, 24, 32) or width <= 0:
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
     tall, stride = abs(height), -(-width * depth // 32) * 4
-    rows = np.frombuffer(data, np.uint8, stride * tall, offset).reshape(tall, stride)
+    rows = _samples(data, np.uint8, stride * tall, offset).reshape(tall, stride)
     if height > 0:
         rows = rows[::-1]
     if depth > 8:
         return rows[:, : width * depth // 8].reshape(tall, width, depth // 8)[:, :, 2::-1]
-    palette = np.frombuffer(data, np.uint8, min(1024, offset - 14 - info), 14 + info).reshape(-1, 4)[:, 2::-1]
+    colours = min(256, (offset - 14 - info) // 4)
+    if colours <= 0:
+        raise ValueError("no palette")
+    palette = _samples(data, np.uint8, 4 * colours, 14 + info).reshape(-1, 4)[:, 2::-1]
     index = rows[:, :width]
-    if (palette == palette[:, :1]).all():
-        grey = np.zeros(256, np.uint8)
-        grey[: len(palette)] = palette[:, 0]
-        return grey[index]
-    return palette[index]
+    if index.max() >= colours:
+        raise ValueError("a pixel is outside of the palette")
+    return palette[:, 0][index] if (palette == palette[:, :1]).all() else palette[index]
+
+
+def picture(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples and the largest value they may take."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return picture(data)[0]
 
 
 def _corners(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,10 +169,11 @@ def difference_hash(pixels: np.ndarray) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(pixels: np.ndarray, height: int = 16, width: int = 16) -> bytes:
-    """The reduction to one tile of 8-bit samples, in NPY format."""
+def npy_tile(pixels: np.ndarray, height: int = 16, width: int = 16, high: int = 255) -> bytes:
+    """The reduction to one tile of 8-bit samples, in NPY format; ``high`` becomes 255."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(pixels, height, width)), 0, 255).astype(np.uint8), allow_pickle=False)
+    scaled = area_resize(pixels, height, width) * (255 / high)
+    np.save(out, np.clip(np.rint(scaled), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -168,12 +189,10 @@ def media_tiles(df: DataFrame, media_col: str = "media", *, tile: int = 16) -> D
         if not data:
             return None, None, None, None, "no data"
         try:
-            pixels = decode(data)
-            if not pixels.size:
-                raise ValueError("no pixels")
+            pixels, high = picture(data)
         except (ValueError, struct.error) as why:
             return None, None, None, None, str(why)
-        return pixels.shape[0], pixels.shape[1], npy_tile(pixels, tile, tile), difference_hash(pixels), None
+        return pixels.shape[0], pixels.shape[1], npy_tile(pixels, tile, tile, high), difference_hash(pixels), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,11 +37,26 @@ def test_media_round_trip():
     assert (media.decode(b"P2 # c\n3 2\n9\n1 2 3\n4 5 9") == [[1, 2, 3], [4, 5, 9]]).all()
     assert (media.decode(b"P1\n3 1\n101") == [[0, 255, 0]]).all() and (media.decode(b"P4\n3 1\n\xa0") == [[0, 255, 0]]).all()
     assert media.decode(b"P5\n1 1\n65535\n\x01\x02")[0, 0] == 258
-    for bad in (b"", b"P5\n9 9\n255\nxx", b"BMxx", b"GIF89a"):
+    bmp = media.encode_bmp(grey)
+    short = bytearray(bmp)
+    short[10:14] = (14 + 40 + 8).to_bytes(4, "little")  # a palette of two colours
+    broken = [
+        b"", b"P5\n9 9\n255\nxx", b"BMxx", b"GIF89a", b"P5 99999999999 99999999999\n255\nxx", b"P4 99999999999 99999999999\nxx", b"P2 1 1\n255\n99999999999999999999999",
+        b"P2 1 1\n9\n10", b"P2 1 1\n9\nx", b"P5 0 3\n255\n", b"P2 0 0\n9\n", b"P5 1 1\n0\nx", b"P6 1 1\n70000\nxxxxxx", b"P1 2 2\n10", bytes(short), bmp[:60],
+        bmp[:18] + (1 << 30).to_bytes(4, "little") * 2 + bmp[26:], bmp[:10] + b"\xff" * 4 + bmp[14:], bmp[:14] + b"\xff" * 4 + bmp[18:],
+    ]
+    for bad in broken:
         with pytest.raises(ValueError):
             media.decode(bad)
 
 
+def test_tiles_follow_the_depth():
+    wide = np.array([[300, 60000], [0, 65535]], ">u2")
+    for data, want in ((b"P5\n2 2\n65535\n" + wide.tobytes(), [[1, 233], [0, 255]]), (b"P2 2 2 9 0 9 3 6", [[0, 255], [85, 170]])):
+        pixels, high = media.picture(data)
+        assert (np.load(io.BytesIO(media.npy_tile(pixels, 2, 2, high))) == want).all()
+
+
 def test_area_resize_against_sums(monkeypatch):
     monkeypatch.setattr(media, "BLOCK_ROWS", 5)
     pixels = np.random.default_rng(1).integers(0, 256, (31, 17)).astype(float)
@@ -54,8 +69,10 @@ def test_area_resize_against_sums(monkeypatch):
 
 def test_media_tiles(spark):
     flat = media.encode_pgm(np.zeros((3, 4), np.uint8))
-    df = spark.createDataFrame([(1, flat, "x"), (2, b"junk", "y"), (3, None, "z")], "id long, media binary, height string")
+    rows = [(1, flat, "x"), (2, b"junk", "y"), (3, None, "z"), (4, b"P5 99999999999 99999999999 9 x", "z"), (5, b"", "z")]
+    df = spark.createDataFrame(rows, "id long, media binary, height string")
     got = {r.id: r for r in media.media_tiles(df).collect()}
+    assert got[4].media_error and got[5].media_error == "no data" and media.media_tiles(df.limit(0)).count() == 0
     assert got[1].height == 3 and got[1].dhash == "0" * 16 and got[2].media_error and got[3].media_error == "no data"
 
 
