@@ -1,33 +1,41 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad. A line's potential comes from its own measures and those of the lines before and after
-it; a 2 x 2 table scores the step from line to line. The chain is trained on whole documents whose lines all carry
-the document's label. At scoring, forward-backward gives each line's probability of being good, and their mean
-weighted by line length, calibrated by one logistic curve, is the document's score.
-
-The fit reads at most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id, whole texts.
-Defined results: a null or empty text is one empty line; repeated rows get equal scores; without labelled rows of
-both classes every score is the share of label 1, or 0.
+it; a 2 x 2 table scores the step from line to line. Lines start with their document's label; after a first fit, lines
+of bad documents that look good (``GOOD_LINE``) are labelled good, one bad line at least being left, and the chain is
+fitted again, so that steps between good and bad lines are seen. At scoring, forward-backward gives each line's
+probability of being good, and their mean weighted by line length, calibrated by one logistic curve, is the document's
+score.
+
+The fit reads whole texts of at most ``TRAIN_ROWS`` labelled rows and ``TRAIN_BYTES`` bytes, the first by a hash of
+their id, those of more than a sixteenth of these bytes left out, in one task; no text reaches the driver.
+
+Defined results: a null or empty text is one empty line and scored as such; repeated rows get equal scores; texts of
+any length are scored whole; without labelled rows of both classes every score is the share of label 1, or 0 where
+there is none; rows without an id are scored and not held out; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_remainder, text_bytes
+from skein.llm.common import by_size, crc_remainder, text_bytes
 from skein.llm.toxicity import labelled_sample
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS, TRAIN_BYTES = 4000, 12_000_000
+GOOD_LINE = 0.9
 STEPS, RATE, RIDGE = 120, 0.1, 1e-3
 MEASURES = 16
 WIDTH = 3 * MEASURES + 3
-_SLICE = 256
+_SLICE_CHARS = 1_000_000
 
 _KINDS = np.zeros(256, np.int64)  # 1 lower, 2 capital, 3 digit, 4 stop, 5 other sign, 6 blank, 7 above ASCII
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58], _KINDS[128:] = 1, 2, 3, 7
@@ -49,7 +57,15 @@ def line_measures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     size = np.array([len(x) for x in lines])
     data = np.frombuffer(b"".join(lines), np.uint8)
     owner = np.repeat(np.arange(len(lines)), size)
-    kinds = np.bincount(owner * 8 + _KINDS[data], minlength=8 * len(lines)).reshape(-1, 8)
+    kind = _KINDS[data]
+    kinds = np.bincount(owner * 8 + kind, minlength=8 * len(lines)).reshape(-1, 8)
+    # Signs that repeat the byte before them, and signs between blanks; a line's ends count as blanks.
+    same = np.append(False, owner[1:] == owner[:-1])[: len(data)]
+    signs, blank = (kind == 4) | (kind == 5), kind == 6
+    after_blank = ~same | np.append(False, blank[:-1])[: len(data)]
+    before_blank = np.append(~same[1:] | blank[1:], True)[: len(data)]
+    again = np.bincount(owner[signs & same & np.append(False, data[1:] == data[:-1])[: len(data)]], minlength=len(lines))
+    lone = np.bincount(owner[signs & after_blank & before_blank], minlength=len(lines))
     x = np.empty((len(lines), MEASURES))
     share = kinds / np.maximum(size, 1)[:, None]
     x[:, 0] = np.log1p(size) / 5
@@ -58,8 +74,7 @@ def line_measures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         words = line.split()
         n = len(words)
         if n:
-            marked = line.count(b"| ") + line.count(b"***") + line.count(b"###") + line.count(b"%%%") + line.count(b"&&&") + line.count(b"$$$") + line.count(b"!!")
-            x[k, 8:] = np.log1p(n) / 4, size[k] / n / 10, 1 - len(set(words)) / n, sum(map(eq, words, words[1:])) / n, line.count(b"|") / n, marked / n, line[-1:] in b".!?", line[:1].isupper()
+            x[k, 8:] = np.log1p(n) / 4, size[k] / n / 10, 1 - len(set(words)) / n, sum(map(eq, words, words[1:])) / n, lone[k] / n, again[k] / n, line[-1:] in b".!?", line[:1].isupper()
         else:
             x[k, 8:] = 0
     return x, size, np.array(counts, np.int64)
@@ -111,14 +126,8 @@ def marginals(node: np.ndarray, step: np.ndarray, counts: np.ndarray, pairs: boo
     return good, expected
 
 
-def fit(texts: list[str | None], labels: np.ndarray) -> dict:
-    x, size, counts = line_measures(texts)
-    centre, scale = x.mean(0), x.std(0) + 1e-6
-    f = chain_features((x - centre) / scale, counts)
-    y = np.repeat(labels, counts).astype(np.int64)
-    share = np.clip(labels.mean(), 0.01, 0.99)
-    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both labels weigh the same
-    by_line = np.repeat(balance / counts, counts)
+def _fit_chain(f: np.ndarray, y: np.ndarray, counts: np.ndarray, by_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and steps of greatest likelihood of the line labels, by Adam."""
     later = np.ones(len(y), bool)
     later[np.cumsum(counts) - counts] = False
     seen_steps = np.bincount(y[np.flatnonzero(later) - 1] * 2 + y[later], minlength=4).reshape(2, 2)
@@ -128,12 +137,39 @@ def fit(texts: list[str | None], labels: np.ndarray) -> dict:
         node = np.zeros((len(f), 2))
         node[:, 1] = f @ w
         good, expected = marginals(node, step, counts, pairs=True)
-        slope_w = f.T @ (by_line * (good - y)) / len(labels) + RIDGE * w
+        slope_w = f.T @ (by_line * (good - y)) / len(counts) + RIDGE * w
         slope_s = (expected - seen_steps) / max(1, later.sum()) + RIDGE * 10 * step
         for value, slope, m, v in ((w, slope_w, state[0], state[1]), (step, slope_s, state[2], state[3])):
             m += 0.1 * (slope - m)
             v += 0.01 * (slope**2 - v)
             value -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return w, step
+
+
+def line_labels(good: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 for the lines of good documents and the good-looking lines of bad ones, but for the worst of each."""
+    first = np.cumsum(counts) - counts
+    y = np.repeat(labels, counts).astype(np.int64)
+    y[good >= GOOD_LINE] = 1
+    worst = np.repeat(np.minimum.reduceat(good, first), counts)
+    y[(good == worst) & (np.repeat(labels, counts) == 0)] = 0
+    return y
+
+
+def fit(texts: list[str | None], labels: np.ndarray) -> dict:
+    x, size, counts = line_measures(texts)
+    centre, scale = x.mean(0), x.std(0) + 1e-6
+    f = chain_features((x - centre) / scale, counts)
+    share = np.clip(labels.mean(), 0.01, 0.99)
+    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both labels weigh the same
+    by_line = np.repeat(balance / counts, counts)
+    y = np.repeat(labels, counts).astype(np.int64)
+    for last in (False, True):
+        w, step = _fit_chain(f, y, counts, by_line)
+        if not last:
+            node = np.zeros((len(f), 2))
+            node[:, 1] = f @ w
+            y = line_labels(marginals(node, step, counts)[0], labels, counts)
     model = {"centre": centre, "scale": scale, "w": w, "step": step, "curve": (1.0, 0.0)}
     raw = _logit(document_means(model, x, size, counts))
     a, b = 1.0, 0.0
@@ -168,12 +204,20 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS) -> dict:
-    rows = sorted((r.h, r.doc_id, r.y, r.text) for r in labelled_sample(docs, labels, "quality", usable, max_rows).filter("text IS NOT NULL").collect())
-    y = np.array([r[2] for r in rows], float)
-    if not 0 < y.sum() < len(y):
-        return {"constant": float(y.mean()) if len(y) else 0.0}
-    return fit([r[3] for r in rows], y)
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> dict:
+    """Fits in one task on a sample of bounded rows and bytes; only the model comes back."""
+    sized = labelled_sample(docs, labels, "quality", usable, max_rows).filter("text IS NOT NULL").withColumn("bytes", F.octet_length("text"))
+    before = F.sum("bytes").over(Window.orderBy("h", "doc_id"))  # over max_rows rows at most
+    sample = sized.filter(F.col("bytes") <= max_bytes // 16).withColumn("before", before).filter(F.col("before") <= max_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h, i, y, t) for batch in batches for h, i, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        y = np.array([r[2] for r in rows], float)
+        model = fit([r[3] for r in rows], y) if 0 < y.sum() < len(y) else {"constant": float(y.mean()) if len(y) else 0.0}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.select("h", "doc_id", "y", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else {"constant": 0.0}
 
 
 def score(docs: DataFrame, model: dict, modulus: int = 3, held: int = 1) -> DataFrame:
@@ -182,8 +226,7 @@ def score(docs: DataFrame, model: dict, modulus: int = 3, held: int = 1) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(start, _SLICE)
+            for part in by_size(batch, 2, _SLICE_CHARS):
                 scores = score_texts(model, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -214,7 +214,10 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
-    """doc_id, text, y, h of at most ``max_rows`` labelled rows, the first by a hash of their id; written once."""
+    """doc_id, text, y, h of at most ``max_rows`` labelled ids, the first by a hash, one row each; written once.
+
+    Of rows that repeat an id the largest text counts, of its labels the largest.
+    """
     ids = (
         labels.filter(usable & F.col(label).isNotNull())
         .select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)).alias("h"))
@@ -224,7 +227,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .agg(F.max("y").alias("y"), F.first("h").alias("h"))
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return checkpointed(texts.join(F.broadcast(ids), "doc_id"))  # at most max_rows narrow rows are sent
+    met = texts.join(F.broadcast(ids), "doc_id")  # at most max_rows narrow rows are sent
+    return checkpointed(met.groupBy("doc_id", "y", "h").agg(F.max("text").alias("text")))
 
 
 def _term_counts(rows: DataFrame, wanted: frozenset[bytes] | None) -> DataFrame:

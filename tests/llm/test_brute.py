@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from skein.llm import decontaminate, licenses, media, mixing, neardup, queries, secrets, substring, toxicity
+from skein.llm import decontaminate, licenses, media, mixing, neardup, quality, queries, secrets, substring, toxicity
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -475,3 +476,41 @@ def test_toxicity_features_against_loops():
         ])
     assert toxicity._Codes(learned)[b"nastily"] & toxicity._LEARNED and toxicity._Codes(learned)[b"Grim,"] & toxicity._STRONG
     assert toxicity._Codes(learned)[b"idi0t"] & toxicity._HIDDEN and not toxicity._Codes(learned)[b"grimly"] & toxicity._LEARNED
+
+
+def test_marginals_against_every_labelling():
+    random = np.random.default_rng(9)
+    counts = np.array([1, 4, 6, 3])
+    node, step = random.normal(size=(counts.sum(), 2)), random.normal(size=(2, 2))
+    good, expected = quality.marginals(node, step, counts, pairs=True)
+    want, pairs = np.zeros(counts.sum()), np.zeros((2, 2))
+    for first, n in zip(np.cumsum(counts) - counts, counts, strict=True):
+        total, own, both = 0.0, np.zeros(n), np.zeros((2, 2))
+        for labels in itertools.product((0, 1), repeat=int(n)):
+            weight = np.exp(sum(node[first + k, y] for k, y in enumerate(labels)) + sum(step[a, b] for a, b in itertools.pairwise(labels)))
+            total += weight
+            own += weight * np.array(labels)
+            for a, b in itertools.pairwise(labels):
+                both[a, b] += weight
+        want[first : first + n], pairs = own / total, pairs + both / total
+    assert good == pytest.approx(want) and expected == pytest.approx(pairs)
+
+
+def test_line_measures_against_loops():
+    texts = ["A | b ** c\n\n!!! x-y  --", None, "", "é é É\n# 12 \t#"]
+    x, size, counts = quality.line_measures(texts)
+    lines = [line for t in texts for line in (t or "").encode().split(b"\n")]
+    assert counts.tolist() == [3, 1, 1, 2] and size.tolist() == [len(line) for line in lines]
+    signs = set(b".,;:'\"-()?!#$%&*+/<=>@[\\]^_`{|}~")
+    for row, line in zip(x, lines, strict=True):
+        words = line.split()
+        lone = sum(c in signs and line[k - 1 : k] in (b"", b" ", b"\t") and line[k + 1 : k + 2] in (b"", b" ", b"\t") for k, c in enumerate(line))
+        again = sum(c in signs and k > 0 and line[k - 1] == c for k, c in enumerate(line))
+        assert row[12:14] == pytest.approx((lone / len(words), again / len(words)) if words else (0, 0))
+        assert row[10] == pytest.approx(1 - len(set(words)) / len(words) if words else 0)
+
+
+def test_lines_of_bad_documents():
+    good = np.array([0.99, 0.2, 0.95, 0.91, 0.3])
+    assert quality.line_labels(good, np.array([0.0, 1.0, 0.0]), np.array([2, 1, 2])).tolist() == [1, 0, 1, 1, 0]
+    assert quality.line_labels(np.array([0.99, 0.95]), np.array([0.0]), np.array([2])).tolist() == [1, 0]

@@ -66,7 +66,9 @@ def test_quality(docs, none, labels):
     model = quality.train(docs, labels, F.lit(True))
     got = quality.score(docs, model).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len({r.score for r in got if r.doc_id in (3, 4)}) == 1 and len({r.score for r in got if r.doc_id == 6}) == 1
     assert quality.score(none, quality.train(none, labels, F.lit(True))).count() == 0
+    assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0), F.lit(True))).collect()} == {0.0}
 
 
 def test_language(docs, none):
