@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import mix64, text_bytes, word_digests
+from skein.llm.common import mix64, sorted_distinct, text_bytes, word_digests
 
 WINDOW = 13
 CHUNK_BYTES = 12 << 20
@@ -122,8 +122,13 @@ class Chunk:
 
 def _edges(sorted_cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The blocks that sorted cells are in, and where each begins and the last ends."""
-    blocks, first = np.unique(sorted_cells >> np.uint64(CELL_BITS), return_index=True)
-    return blocks.astype(np.int64), np.append(first, len(sorted_cells))
+    return _runs(sorted_cells >> np.uint64(CELL_BITS))
+
+
+def _runs(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of an ascending list, and where each begins and the last ends."""
+    first = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])[: len(blocks)])
+    return blocks[first].astype(np.int64), np.append(first, len(blocks))
 
 
 def _bits(data: bytes, n: int) -> np.ndarray:
@@ -156,30 +161,39 @@ def _suspects(chunk: Chunk, answers: dict[int, tuple[bytes, bytes]]) -> np.ndarr
     """Positions of the windows whose cells both reach two; ``answers`` has a bit for each cell that was sent."""
     left = np.arange(len(chunk.h1))
     for k, cells in enumerate(chunk.cells()):
-        own = np.unique(cells)
+        own = sorted_distinct(cells)
         blocks, edges = _edges(own)
         reached = np.concatenate([np.zeros(0, bool), *(_bits(answers[b][k], n) for b, n in zip(blocks.tolist(), np.diff(edges).tolist(), strict=True))])
-        own = own[reached]  # few of all, and looked up for those that are left
+        own, cells = own[reached], cells[left]
         if not len(own):
             return left[:0]
-        asked = cells[left]
-        left = left[own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked]
+        marks = np.zeros(1 << CELL_BITS, bool)  # most of the others end here; a table is far quicker than a search
+        marks[_slot(own)] = True
+        some = np.flatnonzero(marks[_slot(cells)])
+        some = some[np.argsort(cells[some])]  # sorted needles are searched for in order
+        asked = cells[some]
+        left = left[np.sort(some[own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked])]
     return left
 
 
+def _slot(cells: np.ndarray) -> np.ndarray:
+    return (cells * _A >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 class Questions:
     """The distinct windows among the suspects, in order of their hashes, and the smallest document of each here."""
 
     def __init__(self, chunk: Chunk, suspects: np.ndarray):
         h1, h2 = chunk.h1[suspects], chunk.h2[suspects]
-        order = np.lexsort((h2, h1))
+        order = np.argsort(h1)
+        if (np.diff(h1[order]) + (np.diff(h2[order]) == 0) == 0).any():  # equal in one half only
+            order = np.lexsort((h2, h1))
         self.where, h1, h2 = suspects[order], h1[order], h2[order]
         new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)]
         first = np.flatnonzero(new)
         self.h1, self.h2, self.group = h1[first], h2[first], np.cumsum(new) - 1
         self.low = np.minimum.reduceat(chunk.doc[self.where], first) if len(first) else chunk.doc[:0]
-        blocks, edges = np.unique(chunk.block_of(self.h1), return_index=True)
-        self.blocks, self.edges = blocks.astype(np.int64).tolist(), [*edges.tolist(), len(first)]
+        self.blocks, self.edges = (x.tolist() for x in _runs(chunk.block_of(self.h1)))
 
     def parts(self) -> Iterator[tuple[int, slice]]:
         for block, i, j in zip(self.blocks, self.edges, self.edges[1:], strict=False):
