@@ -6,8 +6,14 @@ with an elastic net (``L1``, ``L2``), per-coordinate rates and most weights exac
 then fitted on training rows that were held back. A text's logits are a mean over its positions, so scoring reads
 whole texts in one pass.
 
-The fit reads at most ``TRAIN_ROWS`` rows that have a language, the first by a hash of their id; whole texts.
-Defined results: no letter or no text gives ``und`` with score 0; without labelled rows every text is ``und``.
+Document frequencies are counted over all rows that have a language and may be learned from. The fit reads whole texts of
+at most ``LANG_ROWS`` of them for each language, the first by a hash of id and text, so that rare languages are learned
+from all of their rows. Every fifth row of a language is held back for the temperature, which is 1 where none is.
+
+Defined results: no letter or no text gives ``und`` with score 0; without labelled rows every text is ``und``; rows that
+repeat id and text are learned from once and scored one by one; of equal scores the first language by code point wins;
+texts of any length are read whole; rows without an id are scored, not held out and not learned from; other columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_remainder
+from skein.llm.common import by_size, crc_remainder
 
-TRAIN_ROWS = 3000
+LANG_ROWS = 750
 BUCKETS = 1 << 16
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
+ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.05, 3, 10
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3)
 _SLICE_CHARS = 1_000_000
+_COUNT_BLOCKS, _COUNT_TASKS = 16, 64
 
 
 def _letter_table() -> np.ndarray:
@@ -102,50 +110,96 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]]) -> dict:
-    """rows: (doc_id, lang, buckets, shares). A fifth of them is held back for the temperature."""
-    langs = sorted({lang for _, lang, _, _ in rows})
-    width = BUCKETS * len(_ORDERS)
-    seen = np.zeros(width)
-    for _, _, found, _ in rows:
-        seen[found] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    model, number = Ftrl(len(langs), width), {lang: k for k, lang in enumerate(langs)}
-    held = [r for k, r in enumerate(rows) if k % 5 == 4] if len(rows) >= 25 else rows
-    kept = [r for k, r in enumerate(rows) if k % 5 != 4] if len(rows) >= 25 else rows
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> dict:
+    """rows: (lang, buckets, shares), in an order that does not depend on the language."""
+    langs = sorted({lang for lang, _, _ in rows})
+    model, number = Ftrl(len(langs), len(idf)), {lang: k for k, lang in enumerate(langs)}
+    kept, held, seen = [], [], dict.fromkeys(langs, 0)
+    for row in rows:
+        seen[row[0]] += 1
+        (kept if seen[row[0]] % 5 else held).append(row)
     order = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for k in order.permutation(len(kept)):
-            _, lang, found, share = kept[k]
-            model.learn(found, share * idf[found] * 10, number[lang])
-    table = model.weights() * (idf * 10)[:, None]
-    logits = np.array([share @ table[found] for _, _, found, share in held])
-    labels = np.array([number[lang] for _, lang, _, _ in held])
-    temperature = fit_temperature(logits, labels) if len(langs) > 1 else 1.0
+            lang, found, share = kept[k]
+            model.learn(found, share * idf[found] * SCALE, number[lang])
+    table = model.weights() * (idf * SCALE)[:, None]
+    temperature = 1.0
+    if held and len(langs) > 1:
+        temperature = fit_temperature(np.array([share @ table[found] for _, found, share in held]), np.array([number[lang] for lang, _, _ in held]))
     return {"langs": langs, "table": (table / temperature).astype(np.float32)}
 
 
-def train(docs: DataFrame, usable: F.Column, max_rows: int = TRAIN_ROWS) -> dict | None:
-    """Fits on at most ``max_rows`` of the usable rows that have a language."""
-    picked = (
-        docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the texts each bucket occurs, and how many texts there are.
+
+    A task sends its counts in blocks; blocks are added in two steps, so that no task adds those of all others.
+    """
+    width = BUCKETS * len(_ORDERS)
+    edges = np.linspace(0, width, _COUNT_BLOCKS + 1).astype(int)
+    schema = "part int, block int, texts long, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, marks, texts, part = np.zeros(width, np.int64), np.zeros(width, bool), 0, TaskContext.get().partitionId() % _COUNT_TASKS
+        for batch in batches:
+            for text in batch.column(0):
+                points = code_points(text.as_py())
+                if len(points):
+                    for found in gram_buckets(np.concatenate([points, _BLANKS])):
+                        marks[found] = True
+                    own = np.flatnonzero(marks)
+                    total[own] += 1
+                    marks[own] = False
+                texts += 1
+        blocks = [total[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+        columns = [pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([texts] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "block", "texts", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total, texts = 0, 0
+        for batch in table.to_batches():
+            texts += sum(batch.column("texts").to_pylist())
+            for data in batch.column("counts"):
+                total = total + np.frombuffer(data.as_py(), np.int64)
+        return pa.table({"part": pa.array([0], pa.int32()), "block": table.column("block")[:1], "texts": pa.array([texts], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(count, schema).groupBy("part", "block").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
+    counts = np.zeros(width, np.int64)
+    for r in sums:  # one row a block
+        counts[edges[r.block] : edges[r.block + 1]] = np.frombuffer(r.counts, np.int64)
+    return counts, max((r.texts for r in sums), default=0)
+
+
+def train(docs: DataFrame, usable: F.Column, lang_rows: int = LANG_ROWS) -> dict | None:
+    """Fits on at most ``lang_rows`` of the usable rows of each language."""
+    picked = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h")
     )
-    ids = picked.select("doc_id", "__h").orderBy("__h", "doc_id").limit(max_rows)
-    rows = picked.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    sizes = picked.groupBy("lang").count().collect()  # one row a language, as many as the model has classes
+    if not sizes:
+        return None
+    # Hashes below a bound that twice the wanted rows are expected to pass; of those the first are taken.
+    bound = [((1 << 63) - 1) if r["count"] <= 2 * lang_rows else int((1 << 64) * (2 * lang_rows / r["count"])) - (1 << 63) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame([(r.lang, b) for r, b in zip(sizes, bound, strict=True)], "lang string, bound long")
+    few = picked.join(F.broadcast(bounds), "lang").filter("h <= bound").groupBy("lang", "h").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [sparse_features(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([b.tobytes() for _, b in made], pa.binary())],
-                ["doc_id", "lang", "found", "share"],
+                ["lang", "h", "found", "share"],
             )
 
-    found = rows.mapInArrow(run, "doc_id long, lang string, found binary, share binary").collect()
-    data = sorted((r.doc_id, r.lang, bytes(r.found), bytes(r.share)) for r in found)[:max_rows]
-    data = [(i, lang, np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for i, lang, a, b in data if a]
-    return fit(data) if data else None
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= lang_rows)
+    found = sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, found binary, share binary").collect()
+    data = sorted((r.h, r.lang, bytes(r.found), bytes(r.share)) for r in found)
+    rows = [(lang, np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for _, lang, a, b in data if a]
+    if not rows:
+        return None
+    counts, texts = document_frequencies(picked.select("text"))
+    return fit(rows, np.log((1 + texts) / (1 + counts)) + 1)
 
 
 def predict_batch(model: dict | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -183,7 +237,8 @@ def identify(docs: DataFrame, model: dict | None, modulus: int = 4, held: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict_batch(model, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for part in by_size(batch, 2, 2 * _SLICE_CHARS):
+                langs, scores = predict_batch(model, part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpointed, mix64, shingles, text_bytes, word_hashes
+from skein.llm.common import checkpointed, mix64, shingles, sorted_distinct, text_bytes, word_hashes
 
 COORDINATES, MATCHES = 64, 38
 SIMILARITY_PERCENT = 80
@@ -54,7 +54,7 @@ _ADD = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingles(word_hashes(text_bytes(text).lower().split()), size))
+    return sorted_distinct(shingles(word_hashes(text_bytes(text).lower().split()), size))
 
 
 def set_key(found: np.ndarray) -> bytes:

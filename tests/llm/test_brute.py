@@ -10,8 +10,9 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, licenses, media, mixing, neardup, quality, queries, secrets, substring, toxicity
+from skein.llm import decontaminate, langid, licenses, media, mixing, neardup, quality, queries, secrets, substring, toxicity
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -514,3 +515,62 @@ def test_lines_of_bad_documents():
     good = np.array([0.99, 0.2, 0.95, 0.91, 0.3])
     assert quality.line_labels(good, np.array([0.0, 1.0, 0.0]), np.array([2, 1, 2])).tolist() == [1, 0, 1, 1, 0]
     assert quality.line_labels(np.array([0.99, 0.95]), np.array([0.0]), np.array([2])).tolist() == [1, 0]
+
+
+def test_language_model_against_dense_arithmetic(spark):
+    """Document frequencies, one FTRL pass and predictions, each held against plain loops."""
+    texts = ["Ab ba", "ab! ab", "çà va", "", "123", "xyz " * 50]
+    buckets = []
+    for t in texts:
+        points = [c if c.isalpha() else " " for c in t.lower()] + [" ", " "]
+        own = []
+        for i in range(len(points) - 2):
+            h = 0
+            for k in range(3):
+                h = ((h ^ ord(points[i + k])) * 0x01000193 + 0x9E3779B9) & 0xFFFFFFFF
+                own.append(((h ^ (h >> 15)) & (langid.BUCKETS - 1)) + k * langid.BUCKETS)
+        buckets.append(own)
+    width = 3 * langid.BUCKETS
+    counts, n = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = np.zeros(width, int)
+    for own in buckets:
+        for b in set(own):
+            want[b] += 1
+    assert n == len(texts) and (counts == want).all()
+    idf = np.log((1 + n) / (1 + counts)) + 1
+    rows = [(lang, *langid.sparse_features(t)) for lang, t in (("a", texts[0]), ("b", texts[2]), ("a", texts[1]), ("b", texts[5]))]
+    model = langid.fit(rows, idf)
+    z, m = np.zeros((width, 2)), np.zeros((width, 2))
+
+    def weights():
+        return np.where(np.abs(z) <= langid.L1, 0, (np.sign(z) * langid.L1 - z) / ((langid.BETA + np.sqrt(m)) / langid.ALPHA + langid.L2))
+
+    order = np.random.default_rng(5)
+    for _ in range(langid.EPOCHS):
+        for k in order.permutation(len(rows)):
+            lang, found, share = rows[k]
+            x = np.zeros(width)
+            x[found] = share * idf[found] * langid.SCALE
+            w = weights()
+            p = np.exp(x @ w) / np.exp(x @ w).sum()
+            g = np.outer(x, p - (np.arange(2) == "ab".index(lang)))
+            z += g - (np.sqrt(m + g * g) - np.sqrt(m)) / langid.ALPHA * w
+            m += g * g
+    assert np.allclose(model["table"], weights() * (idf * langid.SCALE)[:, None], atol=1e-5)
+    langs, scores = langid.predict_batch(model, [*texts, None])
+    for k, own in enumerate(buckets):
+        if any(c.isalpha() for c in texts[k]):
+            logits = sum(model["table"][b].astype(float) for b in own) / len(texts[k])
+            p = np.exp(logits) / np.exp(logits).sum()
+            assert (langs[k], scores[k]) == ("ab"[int(p.argmax())], pytest.approx(p.max(), abs=1e-5))
+        else:
+            assert (langs[k], scores[k]) == ("und", 0.0)
+    assert (langs[-1], scores[-1]) == ("und", 0.0)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"kala vesi talo {k % 7} maja", "big") for k in range(400)] + [(1000 + k, f"xoq zuw {k} qex wuz", "rare") for k in range(6)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), lang_rows=20)
+    assert model["langs"] == ["big", "rare"]
+    assert {(r.lang_pred, r.doc_id >= 1000) for r in langid.identify(docs, model).collect()} == {("big", False), ("rare", True)}
