@@ -9,7 +9,8 @@ source however many documents it holds, and rows are ranked inside their cell on
 order makes the words taken miss the target by about one document at most.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; an empty table
-gives an empty result; repeated rows are sampled one by one; further columns are kept as they are, and
+gives an empty result; repeated rows are sampled one by one; ties of size and id are broken by a hash of all columns, so that
+only rows equal in all of them may change places; rows without an id are placed by that hash; further columns are kept as they are, and
 columns named like a result are replaced.
 """
 
@@ -73,10 +74,10 @@ def mix_sources(
     made = ("size", "source_size", "target", "copies", "taken")
     size = word_count(F.col("text")) if size is None else size
     keep = [c for c in docs.columns if c not in made]
-    keyed = docs.withColumns({
+    keyed = docs.withColumn("__tie", F.xxhash64(*keep)).withColumns({
         "__size": size,
         _KEY: F.coalesce(F.concat(F.lit("+"), F.col(source_col)), F.lit("-")),
-        _CELL: F.coalesce(_hex(F.concat(F.col(id_col).cast("string"), F.lit(f"/{seed}")), 2) % HASH_CELLS, F.lit(0)),
+        _CELL: F.coalesce(_hex(F.concat(F.col(id_col).cast("string"), F.lit(f"/{seed}")), 2) % HASH_CELLS, F.pmod(F.col("__tie"), F.lit(HASH_CELLS))),
     }).withColumn(_CLASS, F.least(F.floor(F.sqrt(F.col("__size").cast("double"))), F.lit(SIZE_CLASSES - 1)))
 
     # Read twice below: written once, so that the texts are counted once for it.
@@ -93,7 +94,7 @@ def mix_sources(
         .select(_KEY, _CLASS, _CELL, "__rank0", "__u", "rate", "__docs", "source_size", "target")
         .withColumnsRenamed({"rate": "__rate", "source_size": "__source_size", "target": "__target"})
     )
-    inside = Window.partitionBy(_KEY, _CLASS, _CELL).orderBy("__size", id_col)
+    inside = Window.partitionBy(_KEY, _CLASS, _CELL).orderBy("__size", id_col, "__tie")
     rank = F.col("__rank0") + F.col("__rank")
     crossed = F.floor(F.col("__u") + rank * F.col("__rate")) - F.floor(F.col("__u") + (rank - 1) * F.col("__rate"))
     return (
@@ -108,7 +109,7 @@ def mix_sources(
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """One row per copy, numbered from 1 in ``copy``; documents without a copy go."""
+    """One row per copy, numbered from 1 in ``copy`` (which replaces a column of that name); documents without a copy go."""
     return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 

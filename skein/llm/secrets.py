@@ -1,14 +1,17 @@
 """Secret scans: candidates by shape, a random forest against false positives.
 
-Candidates are runs of at least ``LEAST_LENGTH`` token characters that hold a digit and a letter, values that stand
-after a key name and an assignment sign, and web tokens; ``=`` belongs to a run as padding at its end only. Where a run
-is part of a longer value, both are judged, and the whole value is the finding. The forest judges each by its length, character transitions,
-dictionary coverage, path, and neighbouring words. It is trained on labelled findings: ``labelled_findings`` makes
-a seeded set of secrets and of look-alikes (check sums, commit ids, identifiers, paths, placeholders) in their usual
-surroundings, since no table holds any; a table of (before, value, after, label) can be passed instead.
-
-Defined results: a null or empty text has no finding; rows that repeat an id are scanned one by one; findings come
-without the secret, as a hash and a masked form; an empty table gives an empty result.
+Candidates are values of any length that stand after a key name and an assignment sign, web tokens, and, where no key
+name tells of them, runs of at least ``LEAST_LENGTH`` token characters that hold a digit and a letter; ``=`` belongs to
+a run as padding at its end only. Where a run is part of a longer value, both are judged, and the whole value is the
+finding. The forest judges each by its length, character transitions, dictionary coverage, path, and neighbouring
+words. It is trained on labelled findings: ``labelled_findings`` makes a seeded set of secrets and of look-alikes (check
+sums, commit ids, identifiers, paths, placeholders, plain words) in their usual surroundings, since no table holds any;
+a table of (before, value, after, label) can be passed instead.
+
+Defined results: a null or empty text has no finding; texts of any length are scanned whole; rows that repeat an id are
+scanned one by one; where secrets overlap, one finding covers them all and has the highest probability of them;
+findings come without the secret, as a hash and a masked form; ``scan_secrets`` reads no other column, ``redact`` keeps
+all and changes none but ``text`` and ``n_chars``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import text_bytes
+from skein.llm.common import by_size, text_bytes
 
-LEAST_LENGTH, LEAST_VALUE = 16, 8
+LEAST_LENGTH = 16
 TREES, DEPTH, LEAST_ROWS = 30, 8, 3
 THRESHOLD = 0.5
 CONTEXT = 48
 PLACEHOLDER = b"[SECRET]"
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES, _JUDGED_AT_ONCE = 4 << 20, 4096
 
 # Words that announce a secret, and words that announce a look-alike.
 KEY_WORDS = (b"token", b"secret", b"passw", b"pwd", b"api_key", b"apikey", b"api-key", b"auth", b"bearer", b"credential", b"private_key", b"access_key", b"client_key")
@@ -51,23 +54,8 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
 _NAME = re.compile(rb"(?<![\w-])([\w-]++)[\"']?\s{0,3}(?::=|=>|={1,3}|:)\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?([\"']?)")
 _VALUE = re.compile(rb"(?:[^\s\"',;<>&]|&(?![\w.-]{1,64}=))+")
 _WEB_TOKEN = re.compile(rb"(?<![\w-])eyJ[\w-]{5,}+(?:\.[\w-]++){1,4}")
-_WORDS = (b"token", b"secret", b"passw", b"pwd", b"api_key", b"apikey", b"api-key", b"auth", b"bearer", b"credential", b"private_key", b"access_key", b"client_key")
-OTHER_WORDS = (b"commit", b"sha", b"md5", b"checksum", b"digest", b"hash", b"uuid", b"guid", b"etag", b"revision", b"version", b"example", b"image", b"file", b"path", b"session_id", b"trace", b"build")
-# Prefixes of public key formats.
-PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"github_pat_", b"glpat-", b"sk_live_", b"rk_live_", b"sk-", b"xoxb-", b"xoxp-", b"AIza", b"ya29.", b"eyJ", b"npm_", b"hf_")
-# Common English words and name parts.
-DICTIONARY = tuple(
-    b"the and for with from this that have not are was you your user name file path data test main config value index table model image version "
-    b"release build server client request response error message default example sample handler manager service controller module package "
-    b"object string number array list item time date key token session cache local global public private static class function method return "
-    b"import export node page view form button event action state store update create delete insert select order group count total start end".split()
-)
-
-_TOKEN = np.zeros(256, bool)
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
-    _TOKEN[_c] = True
-_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(re.escape(w) for w in KEY_WORDS) + rb")[\w-]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;<>]{8,200})")
-_WORDS = re.compile(rb"[a-z]{3,}")
+#: The dictionary's words in a value, longer ones first; those of three letters or fewer are in too many values.
+_COVER = re.compile(b"|".join(sorted((w for w in dict.fromkeys(DICTIONARY) if len(w) > 3), key=lambda w: (-len(w), w))))
 _CLASS = np.zeros(256, np.int8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 _VOWELS = frozenset(b"aeiouAEIOU")
@@ -118,7 +106,7 @@ def _values(data: bytes) -> list[tuple[int, int]]:
             end -= 1
         found.append((start, end))
     found += [inner] if inner else []
-    return [(s, e) for s, e in found if e - s >= LEAST_VALUE]
+    return [(s, e) for s, e in found if e > s]
 
 
 def candidates(data: bytes) -> list[tuple[int, int]]:
@@ -150,7 +138,7 @@ def features(before: bytes, value: bytes, after: bytes) -> list[float]:
     count = np.bincount(raw, minlength=256)
     share = count[count > 0] / n
     low, near = value.lower(), before.lower()
-    covered = sum(len(w) for w in _WORDS.findall(low) if w in DICTIONARY) if n > 40 else sum(len(w) for w in DICTIONARY if len(w) > 3 and w in low)
+    covered = sum(map(len, _COVER.findall(low)))
     bare = low.replace(b"-", b"").replace(b"_", b"")
     hex_share = sum(c in b"0123456789abcdef" for c in bare) / max(len(bare), 1)
     last_key = max((near.rfind(w) for w in KEY_WORDS), default=-1)
@@ -189,7 +177,7 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[bytes, byt
             value = pick([
                 lambda: draw(hexes, pick([32, 40, 40, 48, 64])), lambda: draw(letters, int(random.integers(16, 48))),
                 lambda: draw(letters + b"+/", pick([20, 40, 44])), lambda: pick(PREFIXES) + draw(letters, int(random.integers(16, 40))),
-                lambda: draw(letters + b"!@#$%", int(random.integers(9, 18))),
+                lambda: draw(letters + b"!@#$%", int(random.integers(9, 18))), lambda: draw(letters + b"!@#$%", int(random.integers(6, 10))),
             ])()
             name = pick([b"token", b"api_key", b"secret", b"SECRET_KEY", b"password", b"auth_token", b"access_key", b"client_secret", b"apikey", b"credential"])
             opened = name + pick([b" = \"", b"=\"", b" = '", b": ", b"=", b": \"", b" : '"])
@@ -197,7 +185,7 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[bytes, byt
                 opened = pick([b"", b"see ", b"\""])
             made.append((filler(3) + b" " + opened, value, close(opened), 1))
         else:
-            kind = int(random.integers(0, 9))
+            kind = int(random.integers(0, 12))
             opened, value = [
                 lambda: (pick([b"commit ", b"revision: ", b"sha256 = \"", b"md5: ", b"checksum=", b"etag: \"", b"digest = '"]), draw(hexes, pick([32, 40, 64]))),
                 lambda: (pick([b"uuid ", b"id: ", b"guid = \"", b"request "]), b"-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12))),
@@ -207,6 +195,9 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[bytes, byt
                 lambda: (pick([b"url(data:image/png;base64,", b"src=\"data:image/gif;base64,"]), draw(letters + b"+/", int(random.integers(60, 200)))),
                 lambda: (pick([b"", b"version ", b"build ", b"release-"]), b"-".join(draw(b"0123456789", int(random.integers(2, 6))) for _ in range(4)) + b"-" + pick(DICTIONARY)),
                 lambda: (pick([b"", b"the "]), b"_".join(pick(DICTIONARY) for _ in range(int(random.integers(3, 6)))) + b"_" + draw(b"0123456789", 2)),
+                lambda: (pick([b"token: ", b"password = ", b"auth=", b"secret: \"", b"api_key: "]), pick([pick(DICTIONARY), b"true", b"false", b"null", b"none", b"yes", draw(b"aeiounrstlhd", int(random.integers(1, 9)))])),
+                lambda: (pick([b"tokens: ", b"max_tokens = ", b"auth_count=", b"password_length: "]), draw(b"0123456789", int(random.integers(1, 6)))),
+                lambda: (pick([b"token = ", b"password: ", b"secret=", b"auth = "]), pick([b"get_%s()", b"self.%s", b"os.environ[%s]", b"${%s}", b"<%s>", b"{{%s}}"]) % pick(DICTIONARY)),
                 lambda: (pick([b"auth ", b"token ", b"password "]), b"-".join(pick(DICTIONARY) for _ in range(4)) + b"-" + draw(b"0123456789", 1)),
             ][kind]()
             made.append((filler(3) + b" " + opened, value, close(opened), 0))
@@ -269,8 +260,11 @@ def find(data: bytes, forest: Forest) -> list[tuple[int, int, float]]:
     spans = candidates(data)
     if not spans:
         return []
-    x = np.array([features(data[max(0, s - CONTEXT) : s], data[s:e], data[e : e + CONTEXT]) for s, e in spans])
-    judged = dict(zip(spans, forest.probability(x).tolist(), strict=True))
+    judged: dict[tuple[int, int], float] = {}
+    for start in range(0, len(spans), _JUDGED_AT_ONCE):
+        part = spans[start : start + _JUDGED_AT_ONCE]
+        x = np.array([features(data[max(0, s - CONTEXT) : s], data[s:e], data[e : e + CONTEXT]) for s, e in part])
+        judged.update(zip(part, forest.probability(x).tolist(), strict=True))
     whole: dict[int, int] = {}
     for s, e in spans:
         whole[s] = max(e, whole.get(s, 0))
@@ -307,7 +301,8 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
                 data = text_bytes(text.as_py())
                 for s, e, p in find(data, forest):
                     value = data[s:e]
-                    masked = value[:4].decode("utf-8", "replace") + "*" * (e - s - 4)
+                    shown = min(4, (e - s) // 4)
+                    masked = value[:shown].decode("utf-8", "replace") + "*" * (e - s - shown)
                     rows.append((doc_id.as_py(), s, e - s, kind_of(value), masked, hashlib.sha256(value).hexdigest(), round(p, 6)))
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
@@ -328,12 +323,13 @@ def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, old = list(batch.columns), batch.column(at).to_pylist()
-            new = [clean(t) for t in old]
-            columns[at] = pa.array(new, batch.schema.types[at])
-            if counted >= 0:
-                sizes = [len(b) if b is not None and b != a else n for a, b, n in zip(old, new, columns[counted].to_pylist(), strict=True)]
-                columns[counted] = pa.array(sizes, batch.schema.types[counted])
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for part in by_size(batch, at, _SLICE_BYTES):
+                columns, old = list(part.columns), part.column(at).to_pylist()
+                new = [clean(t) for t in old]
+                columns[at] = pa.array(new, part.schema.types[at])
+                if counted >= 0:
+                    sizes = [len(b) if b is not None and b != a else n for a, b, n in zip(old, new, columns[counted].to_pylist(), strict=True)]
+                    columns[counted] = pa.array(sizes, part.schema.types[counted])
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -574,3 +574,56 @@ def test_rare_languages_are_learned(spark):
     model = langid.train(docs, F.lit(True), lang_rows=20)
     assert model["langs"] == ["big", "rare"]
     assert {(r.lang_pred, r.doc_id >= 1000) for r in langid.identify(docs, model).collect()} == {("big", False), ("rare", True)}
+
+
+def test_forest_against_exhaustive_search(monkeypatch):
+    """With one feature a root split is the best of all; leaves hold smoothed shares."""
+    monkeypatch.setattr(secrets, "DEPTH", 1)
+    random = np.random.default_rng(12)
+    x = np.round(random.normal(size=(120, 1)), 1)
+    y = ((x[:, 0] > 0.3) ^ (random.random(120) < 0.15)).astype(float)
+    forest = secrets.Forest(x, y, seed=3)
+    draws = np.random.default_rng(3)
+
+    def impurity(rows):
+        return len(rows) * rows.mean() * (1 - rows.mean())
+
+    for feature, cut, left, right, value in forest.trees:
+        rows = draws.integers(0, 120, 120)
+        draws.permutation(1)
+        a, b = x[rows, 0], y[rows]
+        cuts = (np.unique(a)[1:] + np.unique(a)[:-1]) / 2
+        cost = [impurity(b[a <= c]) + impurity(b[a > c]) if min((a <= c).sum(), (a > c).sum()) >= secrets.LEAST_ROWS else np.inf for c in cuts]
+        assert impurity(b[a <= cut[0]]) + impurity(b[a > cut[0]]) == pytest.approx(min(cost)) and feature[0] == 0
+        for child, own in ((left[0], b[a <= cut[0]]), (right[0], b[a > cut[0]])):
+            assert value[child] == pytest.approx((own.sum() + 0.5) / (len(own) + 1))
+    want = np.mean([np.where(x[:, 0] <= c[0], v[le[0]], v[ri[0]]) for _, c, le, ri, v in forest.trees], axis=0)
+    assert forest.probability(x) == pytest.approx(want)
+
+
+def test_candidates_against_patterns():
+    random = np.random.default_rng(13)
+    parts = ["token", "secret_key", "name", " = ", "=", ": ", '"', "'", " ", "\n", "a1b2c3d4e5f6a7b8c9", "Abc-Def_1234567890+/==", "12345678901234567", "short1", "x" * 20, "&b=2", ";", "é"]
+    for _ in range(400):
+        data = "".join(parts[int(k)] for k in random.integers(0, len(parts), 9)).encode()
+        found = secrets.candidates(data)
+        assert found == sorted(set(found)) and all(0 <= s < e <= len(data) for s, e in found)
+        runs = set()
+        for m in re.finditer(rb"[A-Za-z0-9+/_-]+", data):
+            value = m[0].lstrip(b"-/+")
+            padded = re.match(rb"=*", data[m.end() :])[0]
+            after = data[m.end() + len(padded) :][:1]
+            end = m.end() + (len(padded) if not re.match(rb"[A-Za-z0-9+/_-]", after) else 0)
+            start = m.end() - len(value)
+            run = data[start:end]
+            if len(run) >= secrets.LEAST_LENGTH and re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run) and m.end() - m.start() >= secrets.LEAST_LENGTH - 2:
+                runs.add((start, end))
+        assert runs <= set(found)
+        named = {(m.start(1), m.end(1)) for m in re.finditer(rb'(?:token|secret_key) = ([A-Za-z0-9]+)(?=[ "\n]|$)', data) if not re.search(rb"[\w-]$", data[: m.start()])}
+        assert named <= set(found)
+
+
+def test_short_values_and_plain_words():
+    forest = secrets.default_forest()
+    for text, want in (('password = "x9!Kq2"', ["x9!Kq2"]), ("token: true", []), ("auth = yes", []), ("max_tokens = 4096", []), ("secret: the", [])):
+        assert [text[s:e] for s, e, _ in secrets.find(text.encode(), forest)] == want

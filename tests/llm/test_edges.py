@@ -109,6 +109,24 @@ def test_mixing(docs, none):
     assert {r.size for r in got if r.doc_id in (3, 4, 5)} == {0}
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
     assert mixing.emit_copies(mixed).count() == sum(r.copies for r in got)
+    ties = docs.sparkSession.createDataFrame([(7, f"{k} b", "s") for k in range(30)] + [(None, f"{k} b", "t") for k in range(30)], "doc_id long, text string, source string")
+    first = sorted(map(str, mixing.emit_copies(mixing.mix_sources(ties)).collect()))
+    assert first == sorted(map(str, mixing.emit_copies(mixing.mix_sources(ties.repartition(7, "text"))).collect()))
+
+
+def test_pipeline(docs, none, spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    tables = {
+        "labels": spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, PROSE), (2, None)], "item_id long, text string"),
+    }
+    for name, rows in (("full", docs), ("empty", none)):
+        for table, df in (tables | {"documents": rows}).items():
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {"doc_id", "text", "source", "copy"} <= set(got.columns)
+        ids = {r.doc_id for r in got.collect()}
+        assert not ids & {1, 2, None} and ids <= {3, 4, 5, 6, 7, 8, 9, 10} and (ids if name == "full" else not ids)
 
 
 def test_secrets(docs, none):
