@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results: documents without a text are scored as empty ones, are in no group and in no mix (their size is 0);
+rows that repeat an id are judged one by one for toxicity and benchmark items, stay or go together in near-duplicates,
+where rows equal in every column become one, and are sampled one by one; rows without an id are in no group; texts of
+any length are read whole; further columns are kept, but for those named like a result of the mix; without labels
+nothing is toxic, without a benchmark nothing is contaminated, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -51,9 +58,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # nothing reads it any more
+            target = spark._jvm.org.apache.hadoop.fs.Path(before)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        before = path
     return docs
