@@ -42,7 +42,7 @@ def final_number(text: Column, method: str = "strict", tail: int = 300) -> Colum
 
 def code_blocks(text: Column, first: bool = False) -> Column:
     """Contents of fenced blocks: the first, or all joined by newlines."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)```(?:python|py)?\s*\n(.*?)```"), F.lit(1)), lambda x: F.trim(x))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)```(?:python|py)?\s*\n(.*?)```"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.try_element_at(found, F.lit(1)) if first else F.array_join(found, "\n")
 
 
@@ -81,7 +81,7 @@ def canonical_json(values: pd.Series) -> pd.Series:
             return None
         try:
             return json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deeply to be read counts as no JSON
             return json.dumps(value, ensure_ascii=False)
 
     return values.map(one)
@@ -132,3 +132,21 @@ def truncated_text(text: Column, most: int, head_share: float = 0.6, notice: str
     head = int(most * head_share)
     cut = F.concat(F.substring(text, 1, head), F.lit(notice), F.right(text, F.lit(most - head)))
     return F.when(F.length(text) <= most, text).otherwise(cut)
+
+
+def truncated_tokens(ids: Column | str, most: int, head_share: float = 0.6, notice: list[int] | None = None) -> Column:
+    """At most ``most`` token ids: the head's share of the first, the rest of the last, the ids of a notice between."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    head = int(most * head_share)
+    cut = [F.slice(ids, 1, head)] if head else []
+    cut += [F.array(*[F.lit(x) for x in notice])] if notice else []
+    cut += [F.slice(ids, -(most - head), most - head)] if most > head else []
+    return F.when(F.size(ids) <= most, ids).otherwise(F.concat(*cut) if cut else F.slice(ids, 1, 0))
+
+
+def merged_maps(left: Column | str, right: Column | str, strict: bool = True) -> Column:
+    """The union of two maps; a key of both must have equal values, or else, if not ``strict``, the right one wins."""
+    left, right = (F.col(c) if isinstance(c, str) else c for c in (left, right))
+    clash = F.exists(F.map_keys(left), lambda k: F.map_contains_key(right, k) & ~F.element_at(left, k).eqNullSafe(F.element_at(right, k)))
+    plain = F.map_concat(F.map_filter(left, lambda k, _v: ~F.map_contains_key(right, k)), right)
+    return F.when(clash, F.raise_error(F.lit("a key has two values"))).otherwise(plain) if strict else plain

@@ -40,6 +40,7 @@ STAGES = ("rollout_env_init", "rollout", "prompt", "action", "submission", "eval
 # Failure codes that name their outcome.
 FAILURE_CODES = ("harness_apply_patch_failed", "harness_reset_failed", "tests_timeout", "tests_error", "test_markers_missing", "test_parser_empty", "eval_report_missing")
 
+# Reasons of buckets and the outcomes that stand for them.
 _SET_REASONS = (
     ("set_terminated_turns", ("assistant_turn_limit",)), ("set_terminated_response", ("response_length_limit",)),
     ("set_terminated_other", ("agent_terminated_other",)), ("set_patch_empty", ("patch_empty",)), ("set_patch_apply_failed", APPLY_FAILURE),
@@ -116,13 +117,14 @@ def first_examples(df: DataFrame, k: int, outcome: str = "terminal_outcome", det
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn(detail, F.substring(detail, 1, 300))
 
 
-def group_health(df: DataFrame, size: int, uid: str = "uid", expected: DataFrame | None = None) -> DataFrame:
-    """uid, health, fake_rows, real_rows: incomplete, diagnostics_missing, all_real, all_fake or partial_fake, in this order."""
-    per = df.groupBy(uid).agg(F.count("*").alias("n"), F.count_if(F.col("missing")).alias("m"), F.count_if(F.col("is_fake")).alias("f"))
-    rows = per if expected is None else expected.select(uid).distinct().join(per, uid, "left").fillna(0, ["n", "m", "f"])
+def group_health(df: DataFrame, size: int, uid: str | tuple[str, ...] = "uid", expected: DataFrame | None = None) -> DataFrame:
+    """uid (or the columns that name a group), health, fake_rows, real_rows: incomplete, diagnostics_missing, all_real, all_fake or partial_fake, in this order."""
+    names = (uid,) if isinstance(uid, str) else uid
+    per = df.groupBy(*names).agg(F.count("*").alias("n"), F.count_if(F.col("missing")).alias("m"), F.count_if(F.col("is_fake")).alias("f"))
+    rows = per if expected is None else expected.select(*names).distinct().join(per, list(names), "left").fillna(0, ["n", "m", "f"])
     health = F.when((F.col("n") != size) if size > 0 else F.lit(False), "incomplete").when(F.col("m") > 0, "diagnostics_missing").when(F.col("f") == 0, "all_real").when(F.col("f") == F.col("n"), "all_fake").otherwise("partial_fake")
     partial = F.col("health") == "partial_fake"
-    return rows.withColumn("health", health).select(uid, "health", F.when(partial, F.col("f")).otherwise(0).alias("fake_rows"), F.when(partial, F.col("n") - F.col("f")).otherwise(0).alias("real_rows"))
+    return rows.withColumn("health", health).select(*names, "health", F.when(partial, F.col("f")).otherwise(0).alias("fake_rows"), F.when(partial, F.col("n") - F.col("f")).otherwise(0).alias("real_rows"))
 
 
 def _first_match(outcome: Column, table, otherwise: Column) -> Column:
@@ -196,18 +198,3 @@ def action_timing(df: DataFrame, dispatched: str = "action_execute_attempt") ->
     one = df.agg(F.sum(n).cast("long").alias("timed_count"), F.sum(F.when(n > 0, F.coalesce(F.col("timing")["env_step_seconds"], F.lit(0.0))).otherwise(0.0)).alias("sum_seconds"), F.sum(F.coalesce(F.col("events")[dispatched], F.lit(0))).alias("__d"))
     mean = F.when(F.col("timed_count") > 0, F.col("sum_seconds") / F.col("timed_count"))
     return one.select("timed_count", "sum_seconds", mean.alias("mean_seconds"), rate(F.col("timed_count"), F.col("__d")).alias("coverage"))
-
-
-def tracker_metrics(df: DataFrame, prefix: str = "diagnostics") -> DataFrame:
-    """metric, value: every bucket of the tracker view as a count and as a rate of all trajectories."""
-    rows = buckets(df).filter("view = 'tracker'")
-    total = rows.filter("bucket = 'total'").select(F.col("n").alias("__t"))
-    wide = rows.crossJoin(F.broadcast(total))
-    pairs = F.array(F.struct(F.concat(F.lit(f"{prefix}/count/"), "bucket").alias("metric"), F.col("n").cast("double").alias("value")), F.struct(F.concat(F.lit(f"{prefix}/rate/"), "bucket").alias("metric"), rate(F.col("n"), F.col("__t")).alias("value")))
-    return wide.select(F.explode(pairs).alias("x")).select("x.metric", "x.value")
-
-
-def text_report(df: DataFrame) -> DataFrame:
-    """line_no, line: the buckets of both views as text."""
-    w = Window.orderBy("view", F.desc("n"), "bucket")
-    return buckets(df).select(F.row_number().over(w).alias("line_no"), F.format_string("%s %s: %d", "view", "bucket", "n").alias("line"))

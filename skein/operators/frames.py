@@ -8,19 +8,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.session import checkpointed
+
 ROW = "row_id"
 
 
 def with_row_ids(df: DataFrame, *order: str) -> DataFrame:
     """Numbers the rows from 0 in ``order``, in two levels: counts of range partitions, then ranks inside them."""
     parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        parts = parts.checkpoint()  # both readers must see the same ranges
-    else:
-        parts = parts.persist()
+    parts = checkpointed(parts)  # both readers must see the same ranges, also after an executor is lost
     sizes = parts.groupBy("__p").count()
     base = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__base"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
@@ -124,7 +123,8 @@ def batches(df: DataFrame, size: int, drop_last: bool = True, order: Column | No
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """The rows in a seeded order, the same on every run, numbered anew."""
-    return with_row_ids(df.withColumn("__h", F.xxhash64(ROW, F.lit(seed))).withColumnRenamed(ROW, "__old"), "__h", "__old").drop("__h", "__old")
+    keyed = df.withColumn("__h", F.md5(F.concat_ws("/", ROW, F.lit(seed)).cast("binary"))).withColumnRenamed(ROW, "__old")
+    return with_row_ids(keyed, "__h", "__old").drop("__h", "__old")
 
 
 def mini_batches(df: DataFrame, size: int, epochs: int, seed: int) -> DataFrame:
@@ -133,8 +133,9 @@ def mini_batches(df: DataFrame, size: int, epochs: int, seed: int) -> DataFrame:
     if n % size:
         raise ValueError(f"{n} rows do not divide into batches of {size}")
     every = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(ROW, "epoch", F.lit(seed)), ROW)) - 1
-    return every.withColumn("batch", F.floor(place / size).cast("long"))
+    keyed = every.withColumn("__h", F.md5(F.concat_ws("/", ROW, "epoch", F.lit(seed)).cast("binary"))).withColumnRenamed(ROW, "__old")
+    placed = with_row_ids(keyed, "epoch", "__h", "__old")  # epochs one after the other, so no window holds a whole one
+    return placed.withColumn("batch", F.floor((F.col(ROW) - F.col("epoch") * n) / size).cast("long")).drop(ROW, "__h").withColumnRenamed("__old", ROW)
 
 
 def repeat(df: DataFrame, times: int, interleave: bool = True) -> DataFrame:
@@ -259,3 +260,32 @@ def eos_mask(ids: Column | str, eos: int) -> Column:
 
 def last_position_reward(response: Column | str, reward: Column) -> Column:
     return F.transform(response, lambda _x, i: F.when(i == F.size(response) - 1, reward).otherwise(F.lit(0.0)))
+
+
+def appended(df: DataFrame, *keys: str, key: str = "key", value: str = "value", order: str = ROW) -> DataFrame:
+    """The lists of a multi-map: for each key (of ``keys``, if any) all its values in order."""
+    cells = df.groupBy(*keys, key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("c"))
+    return cells.select(*keys, key, F.col(f"c.{value}").alias(value))
+
+
+def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A batch out of lists of equal lengths, numbered from 0; a list of another length raises, naming both."""
+    sizes = {name: len(values) for name, values in columns.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"columns of different lengths: {sizes}")
+    rows = zip(range(next(iter(sizes.values()), 0)), *columns.values(), strict=True)
+    return spark.createDataFrame(list(rows), f"{ROW} long, {schema}")
+
+
+def from_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A batch out of one dictionary a row; a name that a row lacks is null there."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    return spark.createDataFrame([(k, *(row.get(n) for n in names)) for k, row in enumerate(rows)], f"{ROW} long, {schema}")
+
+
+def feed(df: DataFrame, epochs: int, size: int, drop_last: bool = True) -> DataFrame:
+    """Adds ``epoch`` and ``batch``: the rows over and over, in batches counted through all epochs."""
+    n = df.agg((F.coalesce(F.max(ROW) + 1, F.lit(0))).alias("__n"))
+    per = F.floor(F.col("__n") / size) if drop_last else F.ceil(F.col("__n") / size)
+    rows = df.crossJoin(F.broadcast(n)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("__b", F.floor(F.col(ROW) / size))
+    return rows.filter(F.col("__b") < per).withColumn("batch", (F.col("epoch") * per + F.col("__b")).cast("long")).drop("__n", "__b")

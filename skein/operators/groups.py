@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.frames import with_row_ids
 from skein.operators.masked import masked_whiten
 
 EPS = 1e-6
@@ -155,22 +156,37 @@ def resample_weights(df: DataFrame, score: str = "score", method: str = "pow", p
     return df.crossJoin(F.broadcast(edges)).withColumn("weight", weight + 1e-8).drop("__high", "__low")
 
 
+def factorised(df: DataFrame, key: str = "uid", out: str = "group_id") -> DataFrame:
+    """Adds ``out``: numbers from 0 for the distinct keys in their order; whole numbers, also as text, stay as they are."""
+    text = F.col(key).cast("string")
+    whole = F.when(text.rlike(r"^\s*[+-]?\d{1,15}(\.0+)?\s*$"), text.cast("double").cast("long"))
+    plain = df.agg(F.count_if(whole.isNull() & F.col(key).isNotNull()).alias("n")).first().n == 0
+    if plain:
+        return df.withColumn(out, whole)
+    numbered = with_row_ids(df.select(key).distinct(), key).withColumnRenamed("row_id", out)
+    return df.join(numbered, key)
+
+
 def resample(df: DataFrame, order: str = "row_id", seed: int = 0, buckets: int = 1024, **options) -> DataFrame:
-    """As many rows as there are, drawn with replacement by weight: a draw is a uniform number on the summed weights.
+    """As many rows as there are, drawn with replacement by weight: a draw is a seeded hash of a row on the summed weights.
 
     Summed weights are made in two levels (hash buckets, then rows of a bucket), so no window holds the whole table.
-    A draw meets its row by a grid over the sums: both sides are keyed by cell, and there are as many cells as an
-    eighth of the rows, so the join stays linear.
+    Each stretch ends where the next one begins, the first at 0 and the last beyond 1, so every draw meets one row. A
+    draw finds it by a grid over the sums: both sides are keyed by cell, and there are an eighth as many cells as rows.
     """
     weighted = resample_weights(df, **options).withColumn("__b", F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(buckets)))
     sums = weighted.groupBy("__b").agg(F.sum("weight").alias("__w"))
-    along = Window.orderBy("__b")
-    edges = sums.select("__b", (F.sum("__w").over(along) - F.col("__w")).alias("__from"), F.sum("__w").over(Window.partitionBy()).alias("__all"))
+    along = Window.orderBy("__b")  # one row a bucket
+    edges = sums.select("__b", ((F.sum("__w").over(along) - F.col("__w")) / F.sum("__w").over(Window.partitionBy())).alias("__from"), "__w")
+    edges = edges.withColumn("__to", F.lead("__from", 1, 2.0).over(along))
     inside = Window.partitionBy("__b").orderBy(order)
-    high = (F.col("__from") + F.sum("weight").over(inside)) / F.col("__all")
+    inner = F.col("__from") + (F.col("__to") - F.col("__from")) * F.sum("weight").over(inside) / F.col("__w")
+    top = F.least(F.greatest(inner, F.col("__from")), F.col("__to"))
+    rows = weighted.join(F.broadcast(edges), "__b").withColumn("__high", F.when(F.lead(order).over(inside).isNull(), F.col("__to")).otherwise(top))
+    rows = rows.withColumn("__low", F.coalesce(F.lag("__high").over(inside), F.when(F.col("__from") <= 0, 0.0).otherwise(F.col("__from"))))
     cells = max(buckets, df.count() // 8)
-    rows = weighted.join(F.broadcast(edges), "__b").withColumn("__high", high).withColumn("__low", F.col("__high") - F.col("weight") / F.col("__all"))
-    covered = F.sequence(F.greatest(F.floor(F.col("__low") * cells), F.lit(0)), F.floor(F.col("__high") * cells))
-    draws = df.select(F.rand(seed).alias("__u")).withColumn("__cell", F.floor(F.col("__u") * cells))
-    drawn = draws.join(rows.withColumn("__cell", F.explode(covered)), "__cell").filter("__u >= __low AND __u < __high")
-    return drawn.select(*df.columns)
+    covered = F.sequence(F.floor(F.col("__low") * cells), F.least(F.floor(F.col("__high") * cells), F.lit(cells).cast("long")))
+    uniform = F.pmod(F.xxhash64(order, F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)
+    draws = df.select(uniform.alias("__u")).withColumn("__cell", F.floor(F.col("__u") * cells))
+    met = rows.filter("__low < __high AND __low < 1").withColumn("__cell", F.explode(covered))
+    return draws.join(met, "__cell").filter("__u >= __low AND __u < __high").select(*df.columns)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-import random
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.frames import with_row_ids
+
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids.select(column).distinct(), column, "left_semi")
@@ -34,10 +38,10 @@ def keep_short(df: DataFrame, length: Column, most: int) -> DataFrame:
 
 
 def require_fields(df: DataFrame, *names: str) -> DataFrame:
-    """Raises, naming the field, in the first row that lacks one."""
-    absent = F.concat_ws(",", *[F.when(F.col(n).isNull(), F.lit(n)) for n in names])
-    checked = F.when(absent == "", F.col(names[0])).otherwise(F.raise_error(F.concat(F.lit("missing fields: "), absent)))
-    return df.withColumn(names[0], checked)
+    """Raises if any row lacks a field, naming all fields that are missing anywhere."""
+    lacking = df.agg(F.concat_ws(",", *[F.when(F.count_if(F.col(n).isNull()) > 0, F.lit(n)) for n in names]).alias("__absent"))
+    checked = F.when(F.col("__absent") == "", F.col(names[0])).otherwise(F.raise_error(F.concat(F.lit("missing fields: "), F.col("__absent"))))
+    return df.crossJoin(F.broadcast(lacking)).withColumn(names[0], checked).drop("__absent")
 
 
 def coalesce_fields(df: DataFrame, fields: dict[str, tuple[list[str], object]]) -> DataFrame:
@@ -99,19 +103,21 @@ def head_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def seeded_order(column: str, seed: int) -> Column:
+    """A text that orders rows at random, the same on every run and in other engines."""
+    return F.md5(F.concat(F.col(column).cast("string"), F.lit(f"/{seed}")).cast("binary"))
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, order: str = "row_id") -> DataFrame:
     """n rows without replacement, the first by a seeded hash of their number."""
-    return df.orderBy(F.xxhash64(order, F.lit(seed)), order).limit(n)
+    return df.orderBy(seeded_order(order, seed), order).limit(n)
 
 
 def shuffle_pages(ids: DataFrame, column: str, seed: int, part_size: int) -> DataFrame:
-    """(id, page, place): a Python-seeded shuffle of the ids, cut into pages counted from 1, the last one short.
-
-    The order of Python's generator cannot be had in parts, so the sorted ids of a task list are shuffled here.
-    """
-    rows = [r[0] for r in ids.select(column).distinct().orderBy(column).collect()]
-    random.Random(seed).shuffle(rows)
-    return ids.sparkSession.createDataFrame([(v, k // part_size + 1, k % part_size) for k, v in enumerate(rows)], f"{column} {dict(ids.dtypes)[column]}, page long, place long")
+    """(id, page, place): the distinct ids in a seeded order, cut into pages counted from 1, the last one short."""
+    keyed = ids.select(column).distinct().withColumn("__h", seeded_order(column, seed))
+    numbered = with_row_ids(keyed, "__h", column)
+    return numbered.select(column, (F.floor(F.col("row_id") / part_size) + 1).cast("long").alias("page"), (F.col("row_id") % part_size).alias("place"))
 
 
 def hash_bucket(text: Column | str, buckets: int) -> Column:
@@ -172,3 +178,27 @@ def set_report(required: Column | str, passed: Column | str) -> Column:
         F.array_sort(F.array_intersect(required, passed)).alias("hit"), F.array_sort(F.array_except(required, passed)).alias("missing"),
         (F.size(F.array_except(required, passed)) == 0).alias("complete"),
     )
+
+
+def sticky_routes(df: DataFrame, servers: int, *, batch: str, request: str = "request_id", order: str = "row_id") -> DataFrame:
+    """Adds ``server`` to the calls of each batch, in order: a request keeps its server, a new one takes the least loaded.
+
+    A call counts as load until the batch ends; of equal loads the first server wins. Each choice depends on all before
+    it, so a batch, which one router serves, is one group.
+    """
+
+    def assign(calls: pd.DataFrame) -> pd.DataFrame:
+        load, known, out = [(0, k) for k in range(servers)], {}, []
+        counts, calls = [0] * servers, calls.sort_values(order)
+        for name in calls[request]:
+            if name not in known:
+                while load[0][0] != counts[load[0][1]]:  # entries are brought up to date when they come to the top
+                    heapq.heapreplace(load, (counts[load[0][1]], load[0][1]))
+                known[name] = load[0][1]
+            counts[known[name]] += 1
+            out.append(known[name])
+        return pd.DataFrame({order: calls[order], batch: calls[batch], "server": out})
+
+    kinds = dict(df.dtypes)
+    schema = f"{order} {kinds[order]}, {batch} {kinds[batch]}, server int"
+    return df.join(df.select(order, batch, request).groupBy(batch).applyInPandas(assign, schema), [order, batch])

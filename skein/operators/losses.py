@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators import corrections
-from skein.operators.masked import aggregate_loss, clip, column, kl_estimate, masked_mean
+from skein.operators.masked import aggregate_loss, clip, column, kl_estimate, masked_mean, masked_sum
 
+#: Cells that a key's range is cut into to find a bound, and how many rows may then be brought together.
+CUTS, MOST_TIES = 1024, 100_000
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -127,6 +129,33 @@ def _covariances(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("__ma")) * (F.col("lp") - F.col("__ml"))).drop("__ma", "__ml")
 
 
+def _first_rows(df: DataFrame, key: Column, few: int, order: tuple[str, ...]) -> Column:
+    """Whether a row is among the ``few`` of smallest ``key`` (null: never), ties by ``order``.
+
+    The bound is found by counting, not by sorting: the key's range is cut into ``CUTS`` equal cells, the cell that holds
+    the bound is cut again, and only when few rows are left in it are they brought together.
+    """
+    rows = df.select(key.cast("double").alias("k"), *order).filter("k IS NOT NULL")
+    low, high, total = rows.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    if total <= few:
+        return key.isNotNull()
+    below, inside = 0, total
+    while inside > MOST_TIES and high > low:
+        cell = F.least(F.floor((F.col("k") - low) / (high - low) * CUTS), F.lit(CUTS - 1)).cast("int")
+        counts = dict(rows.filter(F.col("k").between(low, high)).groupBy(cell.alias("c")).agg(F.struct(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))).collect())
+        for c in sorted(counts):
+            n, a, b = counts[c]
+            if below + n >= few:
+                break
+            below += n
+        if (a, b) == (low, high):
+            break
+        low, high, inside = a, b, n
+    edge = rows.filter(F.col("k").between(low, high)).orderBy("k", *order).limit(few - below).agg(F.max(F.struct("k", *order)).alias("e")).first().e
+    mine = F.struct(key.cast("double").alias("k"), *order)
+    return key.isNotNull() & (mine <= F.struct(F.lit(edge[0]).alias("k"), *[F.lit(v).cast(dict(df.dtypes)[c]).alias(c) for c, v in zip(order, edge[1:], strict=True)]))
+
+
 @register("clip_cov")
 def clip_cov(df: DataFrame, low: float = 0.2, high: float = 0.2, ratio: float = 0.0002, band: tuple[float, float] = (1.0, 5.0), seed: int = 0, mode: str = "token-mean", weights: str | None = None, order: tuple[str, ...] = ("traj", "pos"), **_) -> DataFrame:
     """Clipped loss with a random few tokens of a covariance band set to 0; the draw is by a seeded hash of the token."""
@@ -134,12 +163,11 @@ def clip_cov(df: DataFrame, low: float = 0.2, high: float = 0.2, ratio: float =
     by_origin = (-adv * clip(r, 1 - low, 1 + high) > -adv * r) & (F.col("mask") > 0)
     rows = _covariances(df)
     inside = (F.col("mask") > 0) & ~by_origin & (F.col("cov") > band[0]) & (F.col("cov") < band[1])
-    keyed = rows.withColumn("__h", F.when(inside, F.xxhash64(*order, F.lit(seed))))
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in order], F.lit(str(seed)))
+    keyed = rows.withColumn("__h", F.when(inside, F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double")))
     tokens = df.agg(F.sum("mask")).first()[0] or 0
-    few = max(int(ratio * tokens), 1)
-    picked = keyed.filter("__h IS NOT NULL").select(*order, "__h").orderBy("__h", *order).limit(few).select(*order, F.lit(0.0).alias("__corr"))
-    marked = keyed.join(picked, list(order), "left")
-    return _finish(marked, clipped(r, low, high) * F.coalesce("__corr", F.lit(1.0)), mode, weights)
+    drawn = _first_rows(keyed, F.col("__h"), max(int(ratio * tokens), 1), order)
+    return _finish(keyed, clipped(r, low, high) * F.when(drawn, 0.0).otherwise(1.0), mode, weights)
 
 
 @register("kl_cov")
@@ -149,10 +177,10 @@ def kl_cov(df: DataFrame, ratio: float = 0.0002, coef: float = 1.0, mode: str =
     used = df.filter("mask > 0")
     means = used.agg(F.avg("adv").alias("__ma"), F.avg("lp").alias("__ml"), F.count("*").alias("__n"))
     few = max(1, int((used.count()) * ratio))
-    ranked = used.crossJoin(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("__ma")) * (F.col("lp") - F.col("__ml")))
-    top = ranked.select(*order, "cov").orderBy(F.desc("cov"), *order).limit(few).select(*order, F.lit(float(coef)).alias("__coef"))
-    marked = df.join(top, list(order), "left")
-    return _finish(marked, -F.col("adv") * F.exp(gap) + F.coalesce("__coef", F.lit(0.0)) * F.abs(gap), mode, weights)
+    cov = (F.col("adv") - F.col("__ma")) * (F.col("lp") - F.col("__ml"))
+    ranked = df.crossJoin(F.broadcast(means)).withColumn("__minus", F.when(F.col("mask") > 0, -cov))
+    top = _first_rows(ranked, F.col("__minus"), few, order)
+    return _finish(ranked, -F.col("adv") * F.exp(gap) + F.when(top, float(coef)).otherwise(0.0) * F.abs(gap), mode, weights)
 
 
 def value_loss(df: DataFrame, value: str = "value", old: str = "old_value", ret: str = "ret", bound: float = 0.5, mode: str = "token-mean") -> DataFrame:
@@ -206,6 +234,38 @@ def reverse_kl(df: DataFrame, teacher: str = "ref_lp", kind: str = "k1", mode: s
     return aggregate_loss(df, kl_estimate("lp", teacher, kind), mode)
 
 
+def sft_loss(df: DataFrame, lp: str = "lp", mask: str = "mask", tokens: float | None = None, ranks: int = 1) -> DataFrame:
+    """Minus the summed log probability of trained tokens, over ``tokens`` of the whole batch times the ranks."""
+    total = F.sum(mask) if tokens is None else F.lit(float(tokens))
+    return df.agg((-masked_sum(lp, mask) / total * ranks).alias("loss"))
+
+
+def composite_loss(df: DataFrame, loss: str = "vanilla", *, entropy: str | None = None, entropy_coef: float = 0.0, ref: str | None = None, kl_coef: float = 0.0, kind: str = "k3", mode: str = "token-mean", **options) -> DataFrame:
+    """One row: the policy loss, its entropy bonus and its KL penalty to a reference, and their sum ``loss``."""
+    made = policy_loss(loss, df, mode=mode, **options).withColumnRenamed("loss", "pg_loss")
+    total = F.col("pg_loss")
+    if entropy and entropy_coef:
+        made = made.crossJoin(aggregate_loss(df, F.col(entropy), mode, out="entropy"))
+        total = total - F.col("entropy") * entropy_coef
+    if ref and kl_coef:
+        made = made.crossJoin(aggregate_loss(df, kl_estimate("lp", ref, kind), mode, out="kl_loss"))
+        total = total + F.col("kl_loss") * kl_coef
+    return made.withColumn("loss", total)
+
+
+def top_k_forward_kl(df: DataFrame, teacher: str = "teacher_lp", student: str = "student_lp", mode: str = "token-mean") -> DataFrame:
+    """One row: the forward KL on the teacher's likeliest tokens (arrays of log probabilities), and both masses.
+
+    The few tokens do not sum to 1, so a cell can be negative and is taken as 0 then.
+    """
+    cells = F.zip_with(teacher, student, lambda t, s: F.exp(t) * (t - s))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    mass = lambda c: total(F.transform(c, F.exp))
+    rows = df.withColumn("__kl", F.greatest(total(cells), F.lit(0.0))).withColumn("__t", mass(teacher)).withColumn("__s", mass(student))
+    masses = rows.agg(masked_mean("__s", "mask").alias("student_mass"), masked_mean("__t", "mask").alias("teacher_mass"))
+    return aggregate_loss(rows, "__kl", mode).crossJoin(masses)
+
+
 def bypass_loss(df: DataFrame, *, level: str = "token", threshold: float | str = 2.0, options: str | None = None, thresholds=None, mode: str = "seq-mean-token-sum", loss: str = "reinforce") -> DataFrame:
     """A loss with the rollout policy in place of the old one: weights and rejection come from lp - roll_lp."""
     rows = corrections.bypass(df).withColumn("log_ratio", F.col("lp") - F.col("roll_lp"))

@@ -180,6 +180,11 @@ def plain_validation(df: DataFrame, *, source: str = "data_source", uid: str = "
     return per.groupBy("source", "n").agg(F.count("*").alias("prompts"), F.avg("mean").alias("mean"), F.avg(F.when(F.col("n") > 1, F.col("std"))).alias("std"), F.avg("best").alias("best"), F.avg("worst").alias("worst"))
 
 
+def merge_results(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two validation sets as one; a column that one side lacks is null there, so rows stay aligned."""
+    return left.unionByName(right, allowMissingColumns=True)
+
+
 def core_names(metrics: DataFrame) -> DataFrame:
     """Adds ``name``: the core variable (acc if a source has it, else reward) at its largest size goes to val-core."""
     w = Window.partitionBy("source")

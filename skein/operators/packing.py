@@ -142,7 +142,7 @@ def pack_batches(df: DataFrame, length: str, parts: int, batch_size: int, *, ord
             units = [list(range(a, b)) for a, b in zip(starts, [*starts[1:], rows], strict=True)]
         count = parts if most_tokens is None else max(1, -(-int(group[length].sum()) // most_tokens))
         weights = [sum(cost[i] for i in u) for u in units]
-        placed = run(weights, min(count, len(units)), most_tokens is None and len(units) % count == 0)
+        placed = checked(run(weights, min(count, len(units)), most_tokens is None and len(units) % count == 0), len(units))
         part = {i: k for k, chosen in enumerate(placed) for u in chosen for i in units[u]}
         return pd.DataFrame({"batch": group["batch"], order: group[order], name: [part[i] for i in range(rows)]})
 

@@ -42,7 +42,7 @@ def normal_final_answer(answer: Column) -> Column:
     out = F.try_element_at(F.split(answer, "="), F.lit(-1))
     for old, new in (*ANSWER_SUBSTITUTIONS, *((x, "") for x in ANSWER_REMOVALS)):
         out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern, kept in (
+    for pattern, kept in (  # fixed values: marks around an answer and what stays of them
         (r"^(.*?)(\$)(.*?)(\$)(.*)$", r"\$$3\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"),
         (r"\\boxed\{(.*)\}", "$1"), (r"(frac)([^{])(.)", "$1{$2}{$3}"), (r"(sqrt)([^{])", "$1{$2}"), (r"\$", ""),
     ):
@@ -112,27 +112,29 @@ def match_share(left: list, right: list) -> float:
     return 1.0 if left == right else (sum((a & b).values()) / every if every else 0.0)
 
 
+def _fit(want: dict, got: dict) -> float:
+    """How well the parameters of a call fit those of a wanted one: overlap of their names, and one for each equal value."""
+    same = [k for k in want.keys() & got.keys() if want[k] == got[k]]
+    return match_share(list(want), list(got)) + len(same)
+
+
 def tool_call_score(gold: list[dict], made: list[dict], most: float = 3.0, least: float = -3.0) -> float:
-    """Share of matching names, then for each wanted call its best unused namesake by parameters, scaled to the range."""
+    """Overlap of the names, and for each wanted call in turn the fit of its best namesake that no other took; scaled."""
     if gold == made:
         return most
-    score, possible, used = match_share([t["name"] for t in gold], [t["name"] for t in made]), 1.0, set()
+    names = [[c["name"] for c in calls] for calls in (gold, made)]
+    free, reached = dict(enumerate(made)), match_share(*names)
     for want in gold:
-        wanted = want["parameters"]
-        possible += 1.0 + len(wanted)
-        options = []
-        for i, got in enumerate(made):
-            if i not in used and got["name"] == want["name"]:
-                given = got["parameters"]
-                right = sum(1.0 for k, v in wanted.items() if k in given and given[k] == v)
-                options.append((match_share(list(wanted), list(given)) + right, -i))
-        if options and max(options)[0] > 0:
-            best, at = max(options)
-            used.add(-at)
-            score += best
-    return (most - least) * score / possible + least
+        fits = {k: _fit(want["parameters"], got["parameters"]) for k, got in free.items() if got["name"] == want["name"]}
+        best = max(fits, key=fits.get, default=None)  # the first of equals
+        if best is not None and fits[best] > 0:
+            reached += fits[best]
+            del free[best]
+    possible = 1 + sum(1 + len(want["parameters"]) for want in gold)
+    return least + (most - least) * reached / possible
 
 
+# The parts that a response must have, by whether the truth has an answer and a call.
 _FORMATS = {
     (True, False): r"<think>.*?</think>\n<response>.*?</response>", (False, True): r"<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>",
     (True, True): r"<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n<response>.*?</response>", (False, False): r"<think>.*?</think>",
@@ -158,9 +160,10 @@ def _calls(text: str | None) -> list[dict] | None:
         return None
     try:
         calls = [json.loads(line) for line in body[1].strip().split("\n") if line.strip()]
-        return [{"name": c["name"], "parameters": c.get("parameters", c.get("arguments", {}))} for c in calls]
-    except (ValueError, KeyError, TypeError):
+    except (ValueError, RecursionError):
         return None
+    made = [{"name": c.get("name"), "parameters": c.get("parameters", c.get("arguments", {}))} if isinstance(c, dict) else {"name": None} for c in calls]
+    return made if all(isinstance(c["name"], str) and isinstance(c["parameters"], dict) for c in made) else None
 
 
 @F.pandas_udf(DoubleType())

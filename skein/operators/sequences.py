@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from skein.operators.masked import masked_whiten
+from skein.session import checkpointed
 
 
 def _along(traj: str, pos: str) -> Window:
@@ -70,7 +71,7 @@ def discounted_returns(df: DataFrame, rewards: str = "reward", mask: str = "mask
 
 def reinforce_plus_plus(df: DataFrame, rewards: str = "reward", mask: str = "mask", gamma: float = 1.0, traj: str = "traj") -> DataFrame:
     """Discounted returns of a table of arrays, whitened over all unmasked tokens: traj, pos, ret, mask, advantage."""
-    flat = discounted_returns(df, rewards, mask, gamma, traj).select(traj, "pos", "ret", F.col(mask).alias("mask"))
+    flat = checkpointed(discounted_returns(df, rewards, mask, gamma, traj)).select(traj, "pos", "ret", F.col(mask).alias("mask"))
     white = masked_whiten(flat, "ret", "mask", "advantage")
     return white.withColumn("advantage", F.col("advantage") * F.col("mask"))
 
@@ -90,6 +91,7 @@ def gae(df: DataFrame, rewards: str = "reward", values: str = "value", mask: str
         return state[1]
 
     made = _scan_back(df, traj, [rewards, values, mask], "raw", step)
+    made = checkpointed(made) if whiten else made  # read twice below
     flat = made.select(traj, "pos", F.col(mask).alias("mask"), (F.col("raw") + F.col(values)).alias("ret"), "raw")
     done = masked_whiten(flat, "raw", "mask", "advantage") if whiten else flat.withColumn("advantage", F.col("raw"))
     return done.drop("raw")
@@ -115,9 +117,11 @@ def optimal_token_baseline(
     sizes = rows.groupBy(uid, traj).agg(F.sum(mask).alias("__len"))
     if compact:
         sizes = sizes.filter("__len > 0")
-    by_length = Window.partitionBy(uid).orderBy(F.desc("__len"), traj)
-    everyone = by_length.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shape = sizes.select(uid, traj, F.count("*").over(Window.partitionBy(uid)).alias("__n"), "__len", F.first("__len").over(everyone).alias("__l1"), F.nth_value("__len", 2).over(everyone).alias("__l2"))
+    # The two longest lengths of a group, from its distinct lengths; a length that two share stands for both.
+    by_length = sizes.groupBy(uid, "__len").agg(F.count("*").alias("__c"))
+    lengths = by_length.groupBy(uid).agg(F.sum("__c").alias("__n"), F.sort_array(F.collect_list(F.struct("__len", "__c")), False).alias("__ls"))
+    second = F.when(F.col("__ls")[0]["__c"] > 1, F.col("__ls")[0]["__len"]).otherwise(F.get("__ls", F.lit(1))["__len"])
+    shape = sizes.join(lengths.select(uid, "__n", F.col("__ls")[0]["__len"].alias("__l1"), second.alias("__l2")), uid)
     base = rows.groupBy(uid, "__p").agg((F.sum(F.col("ret") * F.col("__w") * F.col(mask)) / (F.sum(F.col("__w") * F.col(mask)) + eps)).alias("__b"))
     joined = rows.join(base, [uid, "__p"]).join(shape, [uid, traj], "left")
     baseline = F.when(F.coalesce(F.col("__n"), F.lit(1)) <= 1, 0.0)

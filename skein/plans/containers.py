@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein import views
@@ -23,10 +22,12 @@ def slice_rows(spark, sf_dir):
     return frames.slice_rows(docs(spark, sf_dir), 10, -5, 3)
 
 
-@add("select_rows", f"{D}, i AS (SELECT generate_series AS position, (generate_series * 7) % 50 AS idx FROM generate_series(0, 99)) SELECT position AS row_id, uid, seqlen, lang FROM i JOIN d ON d.row_id = i.idx")
+@add("select_rows", f"{D}, n AS (SELECT count(*) AS n FROM d), i AS (SELECT row_id AS position, row_id * 7 % n AS idx FROM d, n UNION ALL SELECT n + row_id, n - 1 - row_id FROM d, n) SELECT position AS row_id, uid, seqlen, lang FROM i JOIN d ON d.row_id = i.idx")
 def select_rows(spark, sf_dir):
-    indices = spark.range(100).select(F.col("id").alias("position"), (F.col("id") * 7 % 50).alias("index"))
-    return frames.select_rows(docs(spark, sf_dir), indices)
+    df = docs(spark, sf_dir)
+    n = frames.size_of(df)
+    twice = spark.range(2 * n).select(F.col("id").alias("position"), F.when(F.col("id") < n, F.col("id") * 7 % n).otherwise(2 * n - 1 - F.col("id")).alias("index"))
+    return frames.select_rows(df, twice)
 
 
 @add("union_columns", "SELECT doc_id AS row_id, lang, n_chars AS seqlen, source AS uid FROM documents")
@@ -207,12 +208,12 @@ def head_rows(spark, sf_dir):
     return joins.head_rows(views.table(spark, sf_dir, "documents"), 25, "doc_id").select("doc_id", "source")
 
 
-@add("sample_rows")
+@add("sample_rows", "SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '/42'), doc_id LIMIT 100")
 def sample_rows(spark, sf_dir):
     return joins.sample_rows(views.table(spark, sf_dir, "documents"), 100, 42, "doc_id").select("doc_id", "source")
 
 
-@add("shuffle_pages")
+@add("shuffle_pages", "WITH r AS (SELECT item_id, row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR) || '/42'), item_id) - 1 AS k FROM (SELECT DISTINCT item_id FROM benchmark)) SELECT item_id, k // 9 + 1 AS page, k % 9 AS place FROM r")
 def shuffle_pages(spark, sf_dir):
     return joins.shuffle_pages(views.table(spark, sf_dir, "benchmark"), "item_id", 42, 9)
 
@@ -224,7 +225,11 @@ def hash_bucket(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", ((b - last % 7 + 7) % 7).alias("part"), b.alias("bucket"))
 
 
-@add("routed_instances")
+@add("routed_instances", """WITH RECURSIVE z AS (SELECT source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS i, greatest(sum(n) OVER () / 4.0, 1e-9)::DOUBLE AS share FROM z),
+g AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS source, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS load, []::INTEGER[] AS groups
+UNION ALL SELECT i, source, list_transform(load, lambda x, k: CASE WHEN list_contains(chosen, k::INTEGER) THEN x + n / len(chosen) ELSE x END), list_sort(chosen) FROM (SELECT r.i, r.source, r.n, g.load, list_transform(list_sort(list_transform(g.load, lambda x, k: {'l': x, 'k': k}))[1:least(4, greatest(1, ceil(r.n / r.share)))::INTEGER], lambda x: x.k::INTEGER) AS chosen FROM g JOIN r ON r.i = g.i + 1)),
+h AS (SELECT doc_id AS row_id, source, source || '__' || doc_id AS instance_id, md5(source || '__' || doc_id) AS m FROM documents)
+SELECT row_id, instance_id, groups[(list_reduce([('0x' || substr(m, 1, 8))::BIGINT % len(groups), ('0x' || substr(m, 9, 8))::BIGINT, ('0x' || substr(m, 17, 8))::BIGINT, ('0x' || substr(m, 25, 8))::BIGINT], lambda a, x: (a * (4294967296 % len(groups)) + x) % len(groups)) + 1)::INTEGER] - 1 AS group_id FROM h JOIN g USING (source)""")
 def routed_instances(spark, sf_dir):
     df = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "source", F.concat("source", F.lit("__"), F.col("doc_id").cast("string")).alias("instance_id"))
     return joins.route(df, joins.routing_map(df, "source", 4), "source", "instance_id").select("row_id", "instance_id", "group_id")
@@ -255,7 +260,10 @@ def balanced_parts(spark, sf_dir):
     return packing.pack_batches(docs(spark, sf_dir), "seqlen", 8, 512)
 
 
-@add("greedy_parts")
+@add("greedy_parts", """WITH RECURSIVE r AS (SELECT doc_id AS row_id, doc_id // 512 AS batch, row_number() OVER (PARTITION BY doc_id // 512 ORDER BY doc_id) AS i, (24576 * n_chars + n_chars * n_chars)::HUGEINT AS w, count(*) OVER (PARTITION BY doc_id // 512) AS n, sum(24576 * n_chars + n_chars * n_chars) OVER (PARTITION BY doc_id // 512) AS s FROM documents),
+g AS (SELECT DISTINCT batch, 0::BIGINT AS i, NULL::BIGINT AS row_id, list_transform(range(8), lambda x: 0::HUGEINT) AS load, NULL::INTEGER AS part FROM r
+UNION ALL SELECT batch, i, row_id, list_transform(load, lambda x, k: CASE WHEN k = p THEN x + w ELSE x END), p - 1 FROM (SELECT g.batch, r.i, r.row_id, g.load, list_position(g.load, list_min(g.load))::INTEGER AS p, r.w + CASE WHEN r.n % 8 = 0 THEN r.s + 1 ELSE 0 END AS w FROM g JOIN r ON r.batch = g.batch AND r.i = g.i + 1))
+SELECT batch, row_id, part FROM g WHERE i > 0""")
 def greedy_parts(spark, sf_dir):
     return packing.pack_batches(docs(spark, sf_dir), "seqlen", 8, 512, method="greedy")
 
@@ -295,9 +303,3 @@ def trajectory_keys(spark, sf_dir):
     df = views.samples(spark, sf_dir).withColumn("key", packing.trajectory_key(F.col("uid").cast("string"), F.col("session_id"), F.lit(0)))
     p = packing.parsed_key(F.col("key"))
     return df.select("row_id", "key", p["uid"].alias("uid"), p["session_id"].alias("session_id"), p["index"].alias("index"))
-
-
-@add("first_k_per_outcome", "WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM events) SELECT * FROM r WHERE rank <= 3")
-def first_k_per_outcome(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return views.table(spark, sf_dir, "events").select("event_id", "event_type", F.row_number().over(w).alias("rank")).filter("rank <= 3")

@@ -69,6 +69,14 @@ def resample_with_replacement(spark, sf_dir):
     return groups.resample(views.samples(spark, sf_dir)).groupBy("score").agg(F.count("*").alias("n"))
 
 
+@add("resample_size", "SELECT count(*) AS drawn, count(*) AS known FROM orders")
+def resample_size(spark, sf_dir):
+    """As many rows are drawn as there are, each of them a row of the table."""
+    rows = views.samples(spark, sf_dir)
+    drawn = groups.resample(rows, seed=5)
+    return drawn.join(rows.select("row_id"), "row_id", "left_semi").agg(F.count("*").alias("known")).crossJoin(drawn.agg(F.count("*").alias("drawn")))
+
+
 # --- token windows
 
 
@@ -208,11 +216,6 @@ for _name, _sql in _LOSS_SQL.items():
         return rounded(losses.policy_loss(_name, views.tokens(spark, sf_dir), **({"ratio": 0.001} if _name == "kl_cov" else {})), "loss")
 
 
-@add("loss_clip_cov")
-def loss_clip_cov(spark, sf_dir):
-    return rounded(losses.policy_loss("clip_cov", views.tokens(spark, sf_dir), band=(0.01, 5.0), ratio=0.001), "loss")
-
-
 @add("clip_fractions", f"""{T}, r AS (SELECT *, {_RATIO} AS r FROM v_token), c AS (SELECT *, -adv * r AS a, -adv * least(greatest(r, 0.8), 1.2) AS b FROM r)
 SELECT round(sum((b > a)::INT * mask) / (sum(mask) + 1e-8), 6) AS clipfrac, round(sum((greatest(a, b) > -adv * 3 AND adv < 0)::INT * mask) / (sum(mask) + 1e-8), 6) + 0.0 AS clipfrac_lower, round(sum(-least(greatest(lp - old_lp, -20), 20) * mask) / (sum(mask) + 1e-8), 6) AS ppo_kl FROM c""")
 def clip_fractions(spark, sf_dir):

@@ -198,16 +198,6 @@ def action_timing(spark, sf_dir):
     return rounded(diagnostics.action_timing(normal(spark, sf_dir)), "sum_seconds", "mean_seconds", "coverage")
 
 
-@add("tracker_metrics")
-def tracker_metrics(spark, sf_dir):
-    return rounded(diagnostics.tracker_metrics(normal(spark, sf_dir)), "value")
-
-
-@add("diagnostic_report")
-def diagnostic_report(spark, sf_dir):
-    return diagnostics.text_report(normal(spark, sf_dir))
-
-
 @add("final_outcomes", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN 'patch_empty' WHEN l_linenumber = 6 THEN 'tests_error' WHEN l_linenumber = 5 THEN 'unknown'
 WHEN l_tax::DOUBLE >= 0.05::DOUBLE AND l_discount::DOUBLE >= 0.05::DOUBLE THEN 'resolved_full' WHEN l_discount > 0 AND l_tax::DOUBLE >= 0.05::DOUBLE THEN 'resolved_partial' WHEN l_tax::DOUBLE < 0.05::DOUBLE THEN 'unresolved_regression' ELSE 'unresolved_no_progress' END AS outcome FROM lineitem""")
 def final_outcomes(spark, sf_dir):

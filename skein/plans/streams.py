@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from skein import views
 from skein.operators import building, losses
 from skein.plans.registry import Registry, rounded
+from skein.session import shared_folder
 from skein.streaming import queues
 
 REGISTRY = Registry()
@@ -17,12 +17,7 @@ add = REGISTRY.add
 
 
 def _shared(spark) -> str:
-    """A new folder in the shared one; a local one only where none is set, as in tests."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root or tempfile.mkdtemp(prefix='skein-stream-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, sf_dir):
@@ -31,10 +26,13 @@ def _event_stream(spark, sf_dir):
     return stream.select(F.col("user_id").cast("string").alias("uid"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
 
 
-def _keyed(spark, sf_dir, processor):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _keyed(spark, sf_dir, processor, stream=_event_stream):
+    own = spark.newSession()  # the state store is set for this stream alone
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = _shared(spark)
-    return queues.collect_stream(queues.run_keyed(_event_stream(spark, sf_dir), processor), f"{folder}/out", f"{folder}/checkpoint")
+    out = queues.run_keyed(stream(own, sf_dir), processor)
+    queues.collect_stream(out, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 @add("stream_count_windows", "WITH r AS (SELECT CAST(user_id AS VARCHAR) AS uid, event_id AS seq, event_type AS payload, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS batch, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT uid, batch, seq, payload FROM r WHERE batch < n // 4")

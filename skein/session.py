@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +25,22 @@ def builder(app: str = "skein", master: str | None = None, partitions: int | Non
     if partitions:
         made = made.config("spark.sql.shuffle.partitions", str(partitions))
     return made
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own only where none is named, as in tests."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-shared-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a copy in the shared folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

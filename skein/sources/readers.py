@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ def read_source(spark: SparkSession, path: str, schema: str | None = None) -> Da
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix and suffix not in FORMATS:
         raise ValueError(f"no reader for {suffix!r}")
-    if not suffix and "/" in path and not path.startswith(("/", ".")) and "://" not in path:
+    if not suffix and "/" in path and not path.startswith(("/", ".")) and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
         raise ValueError(f"{path!r} looks like a hub name; there is no network reader")
     kind = FORMATS.get(suffix, "parquet")
     reader = spark.read.schema(schema) if schema else spark.read

@@ -46,11 +46,18 @@ class BoundedQueue(StatefulProcessor):
         pass
 
 
+END = "\0end"
+
+
 class CountWindow(StatefulProcessor):
-    """Emits rows of a key in batches of exactly ``size``; what is short waits in state."""
+    """Emits rows of a key in batches of exactly ``size``; what is short waits in state.
 
-    def __init__(self, size: int):
-        self.size = size
+    A row whose payload is ``END`` says that no more will come: the short rest is emitted then, as the last batch, or
+    dropped if ``drop_last``.
+    """
+
+    def __init__(self, size: int, drop_last: bool = False):
+        self.size, self.drop_last = size, drop_last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getListState("items", _ROW)
@@ -59,11 +66,14 @@ class CountWindow(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [(int(s), p) for s, p in self.items.get()] if self.items.exists() else []
         batch = int(self.done.get()[0]) if self.done.exists() else 0
-        held += [(int(s), p) for s, p in _rows(rows)[["seq", "payload"]].itertuples(index=False)]
+        new = [(int(s), p) for s, p in _rows(rows)[["seq", "payload"]].itertuples(index=False)]
+        ended = any(p == END for _, p in new)
+        held += [x for x in new if x[1] != END]
         out = []
-        while len(held) >= self.size:
+        while len(held) >= self.size or (ended and held and not self.drop_last):
             out += [(key[0], batch, s, p) for s, p in held[: self.size]]
             held, batch = held[self.size :], batch + 1
+        held = [] if ended else held
         if held:
             self.items.put(held)
         else:
@@ -126,6 +136,45 @@ class KeyedUpsert(StatefulProcessor):
         pass
 
 
+class RetryQueue(StatefulProcessor):
+    """Requests of a key by priority, with retries: ``add:<p>``, ``fail``, ``done``. Emits the state after each row.
+
+    A request that is waiting is not added again but keeps the higher priority; a failure waits for the back-off of its
+    attempt; done forgets it.
+    """
+
+    def __init__(self, base: float = 1.0, cap: float = 60.0):
+        self.base, self.cap = base, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "priority long, attempt long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(int(x) for x in self.state.get()) if self.state.exists() else None
+        out = []
+        for seq, payload in _rows(rows)[["seq", "payload"]].itertuples(index=False):
+            kind, _, value = payload.partition(":")
+            wait = 0.0
+            if kind == "add":
+                what, held = ("merged", (max(held[0], int(value)), held[1])) if held else ("added", (int(value), 0))
+            elif held is None:
+                what = "unknown"
+            elif kind == "fail":
+                wait = float(min(self.base * 2 ** held[1], self.cap))
+                what, held = "retry", (held[0], held[1] + 1)
+            else:
+                what, held = "done", None
+            out.append((key[0], int(seq), what, held[0] if held else -1, held[1] if held else 0, wait))
+        if held:
+            self.state.update(held)
+        else:
+            self.state.clear()
+        yield pd.DataFrame(out, columns=["uid", "seq", "what", "priority", "attempt", "wait"])
+
+    def close(self) -> None:
+        pass
+
+
 class StepBarrier(StatefulProcessor):
     """Holds the rows ``session:status`` of a step until none is running, then emits the successful ones once."""
 
@@ -149,10 +198,16 @@ class StepBarrier(StatefulProcessor):
 
 
 class DedupQueue(StatefulProcessor):
-    """Accepts a request ``fingerprint`` of a key once: the same again is a repeat, another one a conflict."""
+    """Accepts a request ``fingerprint`` of a key once: the same again is a repeat, another one a conflict.
+
+    With ``ttl_ms`` a fingerprint is forgotten that long after its key was last seen, which bounds the state.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "fingerprint string")
+        self.known = handle.getValueState("known", "fingerprint string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.known.get()[0] if self.known.exists() else None
@@ -172,14 +227,15 @@ class DedupQueue(StatefulProcessor):
 OUTPUTS = {
     BoundedQueue: "uid string, produced long, dropped long, size long, oldest long", CountWindow: "uid string, batch long, seq long, payload string",
     StalenessGate: "uid string, seq long, version long, admitted boolean, staleness long", KeyedUpsert: "uid string, name string, value string",
-    StepBarrier: "uid string, session string", DedupQueue: "uid string, seq long, verdict string",
+    RetryQueue: "uid string, seq long, what string, priority long, attempt long, wait double", StepBarrier: "uid string, session string", DedupQueue: "uid string, seq long, verdict string",
 }
 
 
 def run_keyed(stream: DataFrame, processor: StatefulProcessor, key: str = "uid", mode: str = "Append") -> DataFrame:
     """Applies a processor to a stream of (key, seq, payload)."""
     rows = stream.select(F.col(key).cast("string").alias("uid"), F.col("seq").cast("long"), F.col("payload").cast("string"))
-    return rows.groupBy("uid").transformWithStateInPandas(processor, OUTPUTS[type(processor)], mode, "None")
+    clock = "ProcessingTime" if getattr(processor, "ttl_ms", None) else "None"
+    return rows.groupBy("uid").transformWithStateInPandas(processor, OUTPUTS[type(processor)], mode, clock)
 
 
 def collect_stream(out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -200,6 +256,11 @@ def staleness_budget(required: int, threshold: float, sync_steps: int) -> int:
     return int(required * (threshold + 1) * sync_steps)
 
 
+def paused(queued: Column, size: int, stale: Column, budget: int) -> Column:
+    """Whether production waits: the queue is full, or as many rows are under way as staleness allows."""
+    return (queued >= size) | (stale >= budget)
+
+
 def stale_count(df: DataFrame, version: str, current: Column | int) -> DataFrame:
     now = F.lit(current) if isinstance(current, int) else current
     return df.agg(F.count_if(now - F.col(version) >= 1).alias("stale"), F.count("*").alias("rows"))

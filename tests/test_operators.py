@@ -241,3 +241,66 @@ def test_routing(spark):
     pages = joins.shuffle_pages(df, "instance_id", 42, 15)
     assert pages.groupBy("page").count().orderBy("page").collect() == [(1, 15), (2, 15), (3, 10)]
     assert joins.least_common_multiple(4, 6) == 12
+
+
+def test_rate_limit_against_simulation(spark):
+    import random
+
+    from skein.operators import rewards
+
+    draw = random.Random(4)
+    rows, now = [], 0.0
+    for k in range(300):
+        now += draw.choice([0.0, 0.1, 0.5, 3.0])
+        rows.append((k, "a", round(now, 3), float(draw.choice([1, 2, 5, 9]))))
+    df = spark.createDataFrame(rows, "row_id long, k string, t double, cost double")
+    got = {r.row_id: r.starts_at for r in rewards.rate_limited(df, 2.0, 4.0, key="k", time="t", cost="cost").collect()}
+    tokens, last = 4.0, 0.0
+    for row, _, t, cost in rows:  # a bucket that is looked at when a request begins
+        begin = max(t, last)
+        tokens = min(4.0, tokens + (begin - last) * 2.0)
+        wait = max(0.0, (min(cost, 4.0) - tokens) / 2.0) if cost <= 4.0 else max(0.0, (cost - tokens) / 2.0)
+        begin += wait
+        tokens, last = tokens + wait * 2.0 - cost, begin
+        assert abs(got[row] - begin) < 1e-6
+
+
+def test_bad_tool_calls_and_deep_json(spark):
+    from skein.functions import text as T
+    from skein.operators import scoring
+
+    good = '<tool_call>\n{"name": "f", "parameters": {"a": 1}}\n</tool_call>'
+    bad = ['{"name": "f", "arguments": null}', '{"name": ["f"], "parameters": {}}', '{"name": "f", "parameters": [1]}', "[1]", "7", '"x"', "{", "[" * 100_000]
+    df = spark.createDataFrame([(k, f"<tool_call>\n{b}\n</tool_call>", good) for k, b in enumerate(bad)] + [(99, None, good), (100, good, good)], "k int, r string, t string")
+    got = {r.k: r.s for r in df.select("k", scoring.tool_call_reward("r", "t").alias("s")).collect()}
+    assert got == dict.fromkeys([*range(len(bad)), 99], -3.0) | {100: 3.0}
+    deep = "[" * 100_000
+    assert spark.createDataFrame([(deep,)], "j string").select(T.canonical_json("j").alias("j")).first().j == f'"{deep}"'
+
+
+def test_counted_bound(spark, monkeypatch):
+    from skein.operators import losses
+
+    monkeypatch.setattr(losses, "CUTS", 4)
+    monkeypatch.setattr(losses, "MOST_TIES", 3)
+    values = [5.0, 1.0, 1.0, 1.0, 2.0, 9.5, -3.0, None, 2.0, 1.0, 7.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "i long, v double")
+    order = sorted((v, k) for k, v in enumerate(values) if v is not None)
+    for few in range(1, 12):
+        got = df.filter(losses._first_rows(df, F.col("v"), few, ("i",))).collect()
+        assert sorted((r.v, r.i) for r in got) == order[:few]
+
+
+def test_required_fields_names_all(spark):
+    from skein.operators import joins
+
+    df = spark.createDataFrame([(1, None, "x"), (2, "a", None)], "i int, a string, b string")
+    with pytest.raises(Exception, match="missing fields: a,b"):
+        joins.require_fields(df, "i", "a", "b").collect()
+    assert joins.require_fields(df, "i").count() == 2
+
+
+def test_dedup_forgets_after_its_time(spark):
+    from skein.streaming import queues
+
+    assert queues.DedupQueue(60_000).ttl_ms == 60_000 and queues.DedupQueue().ttl_ms is None
