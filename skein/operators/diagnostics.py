@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.quantiles import quantiles
+
 SCHEMA_VERSION = 1
 # Terminal outcomes.
 REAL_EVAL = ("resolved_full", "resolved_partial", "unresolved_regression", "unresolved_no_progress")
@@ -188,8 +190,9 @@ def timing_summary(df: DataFrame) -> DataFrame:
     """field, samples, mean, p50, p95, max of each timing; null statistics without a sample."""
     every = df.sparkSession.createDataFrame([(n,) for n in TIMINGS], "field string")
     long = df.select(F.explode("timing").alias("field", "v"))
-    stats = long.groupBy("field").agg(F.count("v").alias("samples"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("p50"), F.percentile("v", F.lit(0.95)).alias("p95"), F.max("v").alias("max"))
-    return every.join(stats, "field", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+    plain = long.groupBy("field").agg(F.count("v").alias("samples"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    stats = plain.join(quantiles(long, "v", {"p50": 0.5, "p95": 0.95}, "field"), "field")
+    return every.join(stats.select("field", "samples", "mean", "p50", "p95", "max"), "field", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
 
 
 def action_timing(df: DataFrame, dispatched: str = "action_execute_attempt") -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.quantiles import quantiles
+
 NAN = float("nan")
 
 
@@ -197,10 +199,9 @@ def core_names(metrics: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), p.alias("p")).select(
-        *keys, "n", "avg", "max", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99")
-    )
+    plain = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"))
+    ranks = quantiles(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *keys)
+    return plain.join(ranks, list(keys), "left") if keys else plain.crossJoin(F.broadcast(ranks))
 
 
 def spec_decode_rates(df: DataFrame, drafted: str, accepted: str, verified: str) -> DataFrame:

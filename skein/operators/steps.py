@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import diagnostics as D
+from skein.operators.quantiles import quantiles
 
 KEYS = ("phase", "step")
 # Sections of the tracker by phase, leaf names, the buckets that they add up, and the bucket they are a
@@ -114,7 +115,8 @@ def step_times(df: DataFrame, *keys: str) -> DataFrame:
     """keys, field, samples, mean, p95 of the timings of a step, and of ``action`` the pooled mean of a dispatched call."""
     keys = keys or KEYS
     long = df.select(*keys, F.explode("timing").alias("field", "v")).filter(F.col("field").isin(*D.TIMINGS))
-    fields = long.groupBy(*keys, "field").agg(F.count("v").alias("samples"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.95)).alias("p95"))
+    fields = long.groupBy(*keys, "field").agg(F.count("v").alias("samples"), F.avg("v").alias("mean"))
+    fields = fields.join(quantiles(long, "v", {"p95": 0.95}, *keys, "field"), [*keys, "field"])
     calls = F.coalesce(F.col("timing")["env_step_timed_count"], F.lit(0.0))
     seconds = F.when(calls > 0, F.coalesce(F.col("timing")["env_step_seconds"], F.lit(0.0))).otherwise(0.0)
     action = df.groupBy(*keys).agg(F.sum(calls).cast("long").alias("samples"), F.sum(seconds).alias("s"))

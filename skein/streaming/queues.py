@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skein.operators.metrics import percentiles
+
 _ROW = "seq long, payload string"
 
 
@@ -268,10 +270,8 @@ def stale_count(df: DataFrame, version: str, current: Column | int) -> DataFrame
 
 def assembly_stats(df: DataFrame, batch: str = "batch", seconds: str = "seconds", version: str = "version") -> DataFrame:
     """Per batch: processing times and the spread of versions, with the share of rows that span several."""
-    p = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(batch).agg(F.count("*").alias("n"), F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.min(seconds).alias("min"), p.alias("p"), F.count_distinct(version).alias("versions"), (F.max(version) - F.min(version)).alias("span")).select(
-        batch, "n", "avg", "max", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "versions", "span"
-    )
+    plain = df.groupBy(batch).agg(F.count("*").alias("n"), F.count_distinct(version).alias("versions"), (F.max(version) - F.min(version)).alias("span"))
+    return plain.join(percentiles(df, seconds, batch).drop("n"), batch).select(batch, "n", "avg", "max", "min", "p50", "p95", "p99", "versions", "span")
 
 
 def backoff_seconds(attempt: Column, base: float = 1.0, cap: float = 60.0) -> Column:

@@ -304,3 +304,19 @@ def test_dedup_forgets_after_its_time(spark):
     from skein.streaming import queues
 
     assert queues.DedupQueue(60_000).ttl_ms == 60_000 and queues.DedupQueue().ttl_ms is None
+
+
+def test_quantiles_against_numpy(spark):
+    from skein.operators.quantiles import quantiles
+
+    random = np.random.default_rng(6)
+    data = [(k, "ab"[int(random.random() < 0.2)], float(x)) for k, x in enumerate(random.integers(0, 30, 400))] + [(999, "c", 4.0), (1000, "c", None), (1001, "d", None)]
+    df = spark.createDataFrame(data, "i long, k string, v double").repartition(7)
+    shares = {"q0": 0.0, "q1": 0.123, "q2": 0.5, "q3": 0.99, "q4": 1.0}
+    values = {k: [v for _, j, v in data if j == k and v is not None] for k in "abc"}
+    got = {r.k: [r[q] for q in shares] for r in quantiles(df, "v", shares, "k").collect()}
+    assert set(got) == set("abc") and all(np.allclose(got[k], np.quantile(values[k], list(shares.values()))) for k in got)
+    one = quantiles(df, "v", shares).first()
+    assert np.allclose([one[q] for q in shares], np.quantile(sum(values.values(), []), list(shares.values())))
+    assert metrics.percentiles(df, "v").first().p50 == np.quantile(sum(values.values(), []), 0.5)
+    assert quantiles(df.limit(0), "v", shares, "k").count() == 0
