@@ -317,3 +317,17 @@ def first_of_groups(docs: DataFrame, *, size: int = 5, percent: int = SIMILARITY
     kept = judged.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     first = docs.join(kept, "doc_id", "left_semi").dropDuplicates()
     return first.unionByName(docs.filter("doc_id IS NULL"))
+
+
+#: DuckDB: all pairs of texts that share a shingle, and all that can be reached over the similar ones.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+'), []) AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+c AS (SELECT s, min(doc_id) AS node FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT node, len(s) AS n, unnest(s) AS x FROM c),
+p AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.node < b.node GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)), t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+m AS (SELECT node AS a, node AS b FROM c UNION SELECT m.a, t.b FROM m JOIN t ON m.b = t.a),
+q AS (SELECT a AS node, min(b) AS component_id FROM m GROUP BY a)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id = doc_id, true) AS kept FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN q USING (node)
+"""

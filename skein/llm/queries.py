@@ -71,4 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_repeated_windows": substring.ORACLE_SQL,
+    "op5_minhash": neardup.ORACLE_SQL,
+    "op6_mix_sources": mixing.ORACLE_SQL,
+}

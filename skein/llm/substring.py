@@ -295,3 +295,15 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     verdicts = questions.groupBy("block").applyInArrow(_merge_questions, _ddl(_VERDICT))
     replies = answers.unionByName(verdicts, allowMissingColumns=True).repartition(chunks, "chunk")
     return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, _ddl(_RESULT))
+
+
+#: DuckDB: every window as a text, and the smallest document that starts it.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), []) AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS f FROM g GROUP BY g),
+x AS (SELECT DISTINCT r, i + k AS i FROM g JOIN f USING (g), (SELECT unnest(range(13)) AS k) WHERE f < doc_id),
+w AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN x USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

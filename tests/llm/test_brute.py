@@ -174,6 +174,16 @@ def test_blocks_find_every_link(monkeypatch):
     assert (neardup.overlaps(sets, sets) == want).all()
 
 
+@pytest.mark.parametrize("name", ["op3_repeated_windows", "op5_minhash"])
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall())
+    assert sorted(tuple(r[c] for c in names) for r in queries.QUERIES[name](spark, SMALL).collect()) == want
+
+
 def test_mix_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{MIDDLE}/documents.parquet'")
