@@ -55,10 +55,9 @@ def coalesce_fields(df: DataFrame, fields: dict[str, tuple[list[str], object]])
     return df.withColumns(made)
 
 
-def lookup(df: DataFrame, table: DataFrame, *keys: str, small: bool = False) -> DataFrame:
-    """Inner join that raises where a key is absent; ``small`` says that the table's size is bounded."""
-    marked = table.withColumn("__found", F.lit(True))
-    joined = df.join(F.broadcast(marked) if small else marked, list(keys), "left")
+def lookup(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Inner join that raises where a key is absent; a table that proves small at run time is broadcast by Spark itself."""
+    joined = df.join(table.withColumn("__found", F.lit(True)), list(keys), "left")
     ok = F.when(F.col("__found"), F.col(keys[0])).otherwise(F.raise_error(F.lit("a key is not in the lookup table")).cast(dict(df.dtypes)[keys[0]]))
     return joined.withColumn(keys[0], ok).drop("__found")
 

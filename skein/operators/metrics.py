@@ -119,7 +119,7 @@ def aggregate_steps(df: DataFrame, gpus: int, *, step: str = "step", metric: str
     ), lambda x: x["d"].isNotNull())
     extra = wide.select(F.explode(derived).alias("x")).select(F.col(f"x.{metric}").alias(metric), F.col("x.d").alias("d"))
     needs_own = F.col(metric).isin("perf/throughput", "global_seqlen/minmax_diff")
-    both = made.join(F.broadcast(extra), metric, "full")
+    both = made.join(extra, metric, "full")
     new = F.when(F.col("d").isNotNull() & (~needs_own | F.col("reduced").isNotNull()), F.col("d")).otherwise(F.col("reduced"))
     return both.select(metric, new.alias("reduced")).filter("reduced IS NOT NULL")
 

@@ -20,26 +20,29 @@ def hermes_calls(text: Column) -> Column:
     return F.filter(read, lambda c: c["name"].isNotNull())
 
 
+def _number(value: str) -> int | float:
+    number = float(value)
+    return int(number) if number.is_integer() else number
+
+
+def _truth(value: str) -> bool:
+    return value.lower() == "true"
+
+
+# Declared types of parameters, by name or by how the name begins, and how a text is read as one of them.
+TYPE_NAMES = dict.fromkeys(("string", "str", "text", "varchar", "char", "enum", ""), str) | dict.fromkeys(("boolean", "bool", "binary"), _truth)
+TYPE_PREFIXES = (("int", int), ("uint", int), ("long", int), ("short", int), ("unsigned", int), ("num", _number), ("float", _number))
+
+
 def _coerced(value: str, kind: str):
-    """A parameter by its declared type; what does not fit stays text (a boolean becomes false)."""
+    """A parameter by its declared type, others as JSON; what does not fit stays text (a boolean becomes false)."""
     if value.lower() == "null":
         return None
     kind = kind.strip().lower()
-    if kind in ("string", "str", "text", "varchar", "char", "enum", ""):
-        return value
-    try:
-        if kind.startswith(("int", "uint", "long", "short", "unsigned")):
-            return int(value)
-        if kind.startswith(("num", "float")):
-            number = float(value)
-            return int(number) if number.is_integer() else number
-    except (ValueError, OverflowError):
-        return value
-    if kind in ("boolean", "bool", "binary"):
-        return value.lower() == "true"
+    read = TYPE_NAMES.get(kind) or next((r for prefix, r in TYPE_PREFIXES if kind.startswith(prefix)), json.loads)
     try:
-        return json.loads(value)
-    except ValueError:
+        return read(value)
+    except (ValueError, OverflowError, RecursionError):
         return value
 
 

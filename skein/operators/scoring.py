@@ -10,7 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from skein.functions import text as T
 
@@ -64,38 +64,27 @@ def strict_box(solution: Column, truth: Column) -> Column:
     return F.struct(F.when(pred == truth, 1.0).otherwise(-1.0).alias("score"), pred.alias("pred"))
 
 
-def latex_plain(value: str | None) -> str | None:
+def latex_plain(value: Column) -> Column:
     """A LaTeX answer in one spelling: no spacing, units or degree signs, braces around arguments, a/b as a fraction."""
-    if value is None:
-        return None
-    s = value.replace("\n", "").replace("\\!", "").replace("\\\\", "\\")
-    s = re.sub(r"[td]frac", "frac", s)
-    s = re.sub(r"\\left|\\right|\^\{\\circ\}|\^\\circ|\\\$", "", s)
-    s = s.split("\\text{ ")[0]
-    s = re.sub(r"\\?\\%", "", s)
-    s = s.replace(" .", " 0.").replace("{.", "{0.")
-    if not s:
-        return s
-    s = "0" + s if s[0] == "." else s
-    sides = s.split("=")
-    s = sides[1] if len(sides) == 2 and len(sides[0]) <= 2 else s
-    s = re.sub(r"\\sqrt(?!\{)(.)", r"\\sqrt{\1}", s).replace(" ", "")
-    s = re.sub(r"\\frac([^{])([^{])", r"\\frac{\1}{\2}", s)
-    s = re.sub(r"\\frac([^{])(\{)", r"\\frac{\1}\2", s)
-    s = "\\frac{1}{2}" if s == "0.5" else s
-    whole = re.fullmatch(r"(-?\d+)/(-?\d+)", s)
-    return f"\\frac{{{int(whole[1])}}}{{{int(whole[2])}}}" if whole and f"{int(whole[1])}/{int(whole[2])}" == s else s
-
-
-@F.pandas_udf(StringType())
-def normal_latex(values: pd.Series) -> pd.Series:
-    return values.map(latex_plain)
+    s = F.replace(F.replace(F.replace(value, F.lit("\n"), F.lit("")), F.lit("\\!"), F.lit("")), F.lit("\\\\"), F.lit("\\"))
+    s = F.regexp_replace(s, "[td]frac", "frac")
+    s = F.split_part(F.regexp_replace(s, r"\\left|\\right|\^\{\\circ\}|\^\\circ|\\\$", ""), F.lit("\\text{ "), F.lit(1))
+    s = F.regexp_replace(s, r"\\?\\%", "")
+    s = F.replace(F.replace(s, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
+    s = F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
+    sides = F.split(s, "=")
+    s = F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), F.get(sides, F.lit(1))).otherwise(s)
+    for pattern, kept in (
+        (r"\\sqrt(?!\{)(.)", r"\\sqrt{$1}"), (" ", ""), (r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), (r"\\frac([^{])(\{)", r"\\frac{$1}$2"),
+        (r"^0\.5$", r"\\frac{1}{2}"), (r"^(0|-?[1-9]\d*)/(0|-?[1-9]\d*)$", r"\\frac{$1}{$2}"),
+    ):
+        s = F.regexp_replace(s, pattern, kept)
+    return s
 
 
 def math_boxed(solution: Column, truth: Column) -> Column:
     """1 if the last boxed answer equals the truth in one spelling."""
-    pred = normal_latex(T.last_boxed(solution))
-    return F.when(pred == normal_latex(truth), 1.0).otherwise(0.0)
+    return F.when(latex_plain(T.last_boxed(solution)) == latex_plain(truth), 1.0).otherwise(0.0)
 
 
 def overlong_penalty(length: Column, limit: int, buffer: int, factor: float = 1.0) -> Column:

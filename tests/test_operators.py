@@ -158,7 +158,7 @@ def test_scores(spark):
     half = scoring.tool_call_score(gold, [{"name": "a", "parameters": {"x": 1, "y": 3}}])
     assert -3 < half < 3
     for raw, plain in ((r"\dfrac12", r"\frac{1}{2}"), ("0.5", r"\frac{1}{2}"), ("x = 3", "3"), (r"\sqrt3", r"\sqrt{3}"), ("7/8", r"\frac{7}{8}"), (r"5\text{ cm}", "5"), (r"30^\circ", "30")):
-        assert scoring.latex_plain(raw) == plain
+        assert spark.createDataFrame([(raw,)], "s string").select(scoring.latex_plain(F.col("s")).alias("p")).first().p == plain
     df = spark.createDataFrame([(r"a \boxed{x{y}} b", 1), (r"\boxed 7$ z", 2), ("none", 3), (r"\boxed{open", 4)], "t string, k int")
     assert [r.b for r in df.orderBy("k").select(T.last_boxed("t").alias("b")).collect()] == ["x{y}", "7", None, None]
     logs = spark.createDataFrame([(">>>>> Tests Errored >>>>> Reset Failed",), (">>>>> Start Test Output x >>>>> End Test Output",), ("",)], "log string")
