@@ -137,7 +137,7 @@ def truncated_text(text: Column, most: int, head_share: float = 0.6, notice: str
 def truncated_tokens(ids: Column | str, most: int, head_share: float = 0.6, notice: list[int] | None = None) -> Column:
     """At most ``most`` token ids: the head's share of the first, the rest of the last, the ids of a notice between."""
     ids = F.col(ids) if isinstance(ids, str) else ids
-    head = int(most * head_share)
+    head = max(int(most * head_share), min(most, 1))
     cut = [F.slice(ids, 1, head)] if head else []
     cut += [F.array(*[F.lit(x) for x in notice])] if notice else []
     cut += [F.slice(ids, -(most - head), most - head)] if most > head else []

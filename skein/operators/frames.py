@@ -97,6 +97,19 @@ def concat(*parts: DataFrame, missing: bool = False) -> DataFrame:
     return out
 
 
+def merged_meta(metas: list[dict]) -> dict:
+    """What batches say beside their rows, when they are put together: lists of ``metrics`` one after the other, all
+    else has to agree, or it raises, naming what does not."""
+    out: dict = {}
+    for meta in metas:
+        for name, value in meta.items():
+            if name == "metrics":
+                out[name] = out.get(name, []) + (value if isinstance(value, list) else [value])
+            elif out.setdefault(name, value) != value:
+                raise ValueError(f"batches do not agree on {name!r}: {out[name]!r} and {value!r}")
+    return out
+
+
 def chunk_number(df: DataFrame, chunks: int) -> DataFrame:
     """Adds ``chunk``: equal chunks in order; raises unless the rows divide."""
     n = size_of(df)

@@ -90,6 +90,12 @@ def first_of(df: DataFrame, *keys: str, order: str = "row_id") -> DataFrame:
     return picked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
+def ordered_distinct(df: DataFrame, column: str, order: str = "row_id") -> DataFrame:
+    """The distinct values, numbered in the order in which they come first (null is a value)."""
+    first = df.groupBy(column).agg(F.min(order).alias("__first"))
+    return with_row_ids(first, "__first").drop("__first")
+
+
 def latest_of_sessions(df: DataFrame, *keys: str, index: str = "index", order: str = "row_id", padding: str | None = None) -> DataFrame:
     """The row of highest index of each session, the first of ties; padding rows do not count."""
     rows = df.filter(~F.col(padding)) if padding else df

@@ -7,6 +7,7 @@ and joins back as a small table; ``pack_batches`` packs the batches of a whole t
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,50 +105,90 @@ def group_balanced_parts(df: DataFrame, length: str, uid: str, parts: int, *, or
     return _assigned(df, [r[0] for r in rows], [[i for g in part for i in groups[g]] for part in placed], order, name)
 
 
-def micro_batches(df: DataFrame, length: str, most_tokens: int, *, order: str = "row_id", least: int = 1, divided_by: int = 1, group_size: int = 1, interleave: bool = True, name: str = "micro_batch") -> DataFrame:
-    """As few micro-batches as the token limit asks for, evenly loaded; small ones stand at both ends."""
-    rows = _collected(df, length, order=order)
-    if rows and max(r[1] for r in rows) > most_tokens:
+def micro_batch_plan(lengths: list[int], most_tokens: int, least: int = 1, divided_by: int = 1, group_size: int = 1, interleave: bool = True) -> list[list[int]]:
+    """Rows of each micro-batch: as few as the token limit asks for, at least ``least``, a multiple of ``divided_by``,
+    evenly loaded, groups of consecutive rows kept together; small ones stand at both ends."""
+    if lengths and max(lengths) > most_tokens:
         raise ValueError("a sequence is longer than a micro-batch")
-    if len(rows) % group_size:
+    if len(lengths) % group_size:
         raise ValueError("the rows do not divide into groups")
-    groups = len(rows) // group_size
-    count = max(least, min(groups, -(-sum(r[1] for r in rows) // most_tokens)))
+    groups = len(lengths) // group_size
+    count = max(least, min(groups, -(-sum(lengths) // most_tokens)))
     count = -(-count // divided_by) * divided_by
     if count > groups:
         raise ValueError("fewer groups than micro-batches")
-    cost = [sum(_cost(rows[g * group_size + j][1]) for j in range(group_size)) for g in range(groups)]
+    cost = [sum(_cost(lengths[g * group_size + j]) for j in range(group_size)) for g in range(groups)]
     placed = checked(differencing(cost, count), groups)
     if interleave:
         placed.sort(key=lambda p: (sum(cost[g] for g in p), p[0]), reverse=True)
         placed = placed[::2][::-1] + placed[1::2]
-    return _assigned(df, [r[0] for r in rows], [[g * group_size + j for g in part for j in range(group_size)] for part in placed], order, name)
+    return [[g * group_size + j for g in part for j in range(group_size)] for part in placed]
 
 
-def pack_batches(df: DataFrame, length: str, parts: int, batch_size: int, *, order: str = "row_id", method: str = "differencing", most_tokens: int | None = None, uid: str | None = None, name: str = "part") -> DataFrame:
-    """(batch, order, part) for a whole table: consecutive batches of ``batch_size`` rows, each packed in a task.
+def micro_batches(df: DataFrame, length: str, most_tokens: int, *, order: str = "row_id", least: int = 1, divided_by: int = 1, group_size: int = 1, interleave: bool = True, name: str = "micro_batch") -> DataFrame:
+    rows = _collected(df, length, order=order)
+    plan = micro_batch_plan([r[1] for r in rows], most_tokens, least, divided_by, group_size, interleave)
+    return _assigned(df, [r[0] for r in rows], plan, order, name)
+
+
+def balance_plan(lengths: list[int], ranks: int, mini_batch: int | None = None) -> list[list[int]]:
+    """Rows of each rank in the order in which it takes them: as many and as much for each, within every mini-batch if
+    there are any; of what a rank gets at once the light rows stand at both ends."""
+    size = mini_batch or len(lengths)
+    out: list[list[int]] = [[] for _ in range(ranks)]
+    for start in range(0, len(lengths), max(size, 1)):
+        block = lengths[start : start + size]
+        cost = [_cost(n) for n in block]
+        for rank, part in enumerate(checked(differencing(cost, ranks, True), len(block))):
+            light = sorted(part, key=lambda i: (cost[i], i))
+            out[rank] += [start + i for i in light[::2] + light[1::2][::-1]]
+    return out
 
-    With ``most_tokens`` a batch is cut into as few even micro-batches as the limit asks for; with ``uid`` runs of
-    equal uid stay together. Parts have equal sizes where a batch divides.
-    """
-    run = {"differencing": differencing, "greedy": greedy}[method]
-    columns = [order, length, *([uid] if uid else [])]
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
+def _in_batches(df: DataFrame, batch_size: int, columns: list[str], order: str, plan: Callable[[pd.DataFrame], list[list[int]]], name: str) -> DataFrame:
+    """(batch, order, name, place): consecutive batches of a whole table, one planned in a task; a part's rows keep the
+    order of the plan in ``place``."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order).reset_index(drop=True)
-        rows, cost = len(group), [_cost(int(x)) for x in group[length]]
-        units = [[i] for i in range(rows)]
-        if uid:
-            starts = [0, *(i for i in range(1, rows) if group[uid][i] != group[uid][i - 1])]
-            units = [list(range(a, b)) for a, b in zip(starts, [*starts[1:], rows], strict=True)]
-        count = parts if most_tokens is None else max(1, -(-int(group[length].sum()) // most_tokens))
-        weights = [sum(cost[i] for i in u) for u in units]
-        placed = checked(run(weights, min(count, len(units)), most_tokens is None and len(units) % count == 0), len(units))
-        part = {i: k for k, chosen in enumerate(placed) for u in chosen for i in units[u]}
-        return pd.DataFrame({"batch": group["batch"], order: group[order], name: [part[i] for i in range(rows)]})
+        placed = sorted((i, k, at) for k, rows in enumerate(plan(group)) for at, i in enumerate(rows))
+        return pd.DataFrame({"batch": group["batch"], order: group[order], name: [k for _, k, _ in placed], "place": [at for _, _, at in placed]})
 
     batched = df.select(*columns, F.floor(F.col(order) / batch_size).cast("long").alias("batch"))
-    return batched.groupBy("batch").applyInPandas(pack, f"batch long, {order} {dict(df.dtypes)[order]}, {name} int")
+    return batched.groupBy("batch").applyInPandas(run, f"batch long, {order} {dict(df.dtypes)[order]}, {name} int, place int")
+
+
+def micro_batches_of(df: DataFrame, length: str, most_tokens: int, batch_size: int, *, order: str = "row_id", name: str = "micro_batch", **options) -> DataFrame:
+    """``micro_batch_plan`` for every batch of a whole table."""
+    return _in_batches(df, batch_size, [order, length], order, lambda g: micro_batch_plan([int(x) for x in g[length]], most_tokens, **options), name)
+
+
+def balanced_batches(df: DataFrame, length: str, ranks: int, batch_size: int, *, mini_batch: int | None = None, order: str = "row_id", name: str = "rank") -> DataFrame:
+    """``balance_plan`` for every batch of a whole table; a batch, or mini-batch, has to divide by the ranks."""
+    return _in_batches(df, batch_size, [order, length], order, lambda g: balance_plan([int(x) for x in g[length]], ranks, mini_batch), name)
+
+
+def group_balanced_batches(df: DataFrame, length: str, uid: str, parts: int, batch_size: int, *, order: str = "row_id", name: str = "part") -> DataFrame:
+    """Runs of equal uid stay together, and each part of a batch gets as many runs, or it raises."""
+
+    def plan(group: pd.DataFrame) -> list[list[int]]:
+        number = (group[uid] != group[uid].shift()).cumsum() - 1
+        members = [list(rows.index) for _, rows in group.groupby(number)]
+        placed = checked(differencing([sum(_cost(int(group[length][i])) for i in m) for m in members], parts, True), len(members))
+        return [[i for g in part for i in members[g]] for part in placed]
+
+    return _in_batches(df, batch_size, [order, length, uid], order, plan, name)
+
+
+def pack_batches(df: DataFrame, length: str, parts: int, batch_size: int, *, order: str = "row_id", method: str = "differencing", name: str = "part") -> DataFrame:
+    """Parts of every batch of a whole table, of equal sizes where the batch divides."""
+    run = {"differencing": differencing, "greedy": greedy}[method]
+
+    def plan(group: pd.DataFrame) -> list[list[int]]:
+        cost = [_cost(int(x)) for x in group[length]]
+        return checked(run(cost, min(parts, len(cost)), len(cost) % parts == 0), len(cost))
+
+    return _in_batches(df, batch_size, [order, length], order, plan, name).drop("place")
 
 
 def inverse(df: DataFrame, position: str, index: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from skein.functions import text as T
+from skein.operators.building import format_and_accuracy
 
 
 def gsm8k(solution: Column, truth: Column, method: str = "strict", score: float = 1.0, format_score: float = 0.0) -> Column:
@@ -207,9 +208,27 @@ def all_required_passed(required: Column, passed: Column) -> Column:
 
 # --- dispatch
 
+def geometry(solution: Column, truth: Column) -> Column:
+    """Nine parts accuracy of the boxed answer, one part shape: thoughts in their tag and a box after them."""
+    shaped = solution.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$").cast("double")
+    return format_and_accuracy(math_boxed(solution, truth), shaped)
+
+
+def _answer_line(solution: Column, truth: Column) -> Column:
+    return math_answer(solution, truth)["score"]
+
+
+def _question(solution: Column, truth: Column) -> Column:
+    return qa_match(solution, F.array(truth))
+
+
+# Names of data sources and the rule that scores them.
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {
-    "openai/gsm8k": gsm8k, "lighteval/MATH": math_boxed, "math_dapo": lambda s, t: math_answer(s, t)["score"],
-    "searchR1_nq": lambda s, t: qa_match(s, F.array(t)), "rlla": lambda s, t: tool_call_reward(s, t) + format_score(s, t),
+    "openai/gsm8k": gsm8k, "lighteval/MATH": math_boxed, "DigitalLearningGmbH/MATH-lighteval": math_boxed, "HuggingFaceH4/MATH-500": math_boxed,
+    "math_dapo": _answer_line, "math": _answer_line, "math_dapo_reasoning": _answer_line, "hiyouga/geometry3k": geometry,
+    "searchR1_nq": _question, "searchR1_triviaqa": _question, "searchR1_popqa": _question, "searchR1_hotpotqa": _question,
+    "searchR1_2wikimultihopqa": _question, "searchR1_musique": _question, "searchR1_bamboogle": _question,
+    "rlla": lambda s, t: tool_call_reward(s, t) + format_score(s, t),
 }
 
 

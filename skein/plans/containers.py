@@ -268,15 +268,41 @@ def greedy_parts(spark, sf_dir):
     return packing.pack_batches(docs(spark, sf_dir), "seqlen", 8, 512, method="greedy")
 
 
-@add("micro_batches")
+_BATCH = "WITH b AS (SELECT doc_id // 240 AS batch, count(*) AS n, sum(n_chars) AS t FROM documents GROUP BY 1)"
+
+
+def whole_batches(spark, sf_dir):
+    """The rows of whole batches of 240."""
+    df = docs(spark, sf_dir)
+    return df.filter(F.col("row_id") < F.lit(frames.size_of(df) // 240 * 240))
+
+
+@add("micro_batches", f"{_BATCH}, c AS (SELECT batch, n, t, greatest(6, least(n // 4, ceil(t / 200000.0))) AS k FROM b WHERE n = 240) SELECT batch, (ceil(k / 5) * 5)::BIGINT AS micro_batches, n AS rows, 0 AS torn, 0 AS uneven FROM c")
 def micro_batches(spark, sf_dir):
-    return packing.pack_batches(docs(spark, sf_dir), "seqlen", 0, 512, most_tokens=200_000, name="micro_batch")
+    """Per batch: micro-batches, rows, groups of four rows that are torn, and how often light ones do not stand at both ends."""
+    made = packing.micro_batches_of(whole_batches(spark, sf_dir), "seqlen", 200_000, 240, least=6, divided_by=5, group_size=4)
+    rows = made.join(docs(spark, sf_dir), "row_id").withColumn("w", packing.workload(F.col("seqlen")))
+    groups = rows.groupBy("batch", F.floor(F.col("row_id") / 4).alias("g")).agg((F.count_distinct("micro_batch") - 1).alias("torn"))
+    loads = rows.groupBy("batch", "micro_batch").agg(F.sum("w").alias("w"), F.count("*").alias("n")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("micro_batch", "w"))).alias("x"), F.sum("n").alias("rows"))
+    top = F.array_position("x.w", F.array_max("x.w"))
+    ends = F.size(F.filter(F.sequence(F.lit(2), F.size("x")), lambda i: F.when(i <= top, F.col("x.w")[i - 1] < F.col("x.w")[i - 2]).otherwise(F.col("x.w")[i - 1] > F.col("x.w")[i - 2])))
+    return loads.join(groups.groupBy("batch").agg(F.sum("torn").alias("torn")), "batch").select("batch", F.size("x").cast("long").alias("micro_batches"), "rows", "torn", ends.alias("uneven"))
+
+
+@add("batch_balance", f"{_BATCH} SELECT batch, unnest(range(6))::INTEGER AS rank, n // 6 AS rows, n // 6 AS places, 10 AS of_first FROM b WHERE n = 240")
+def batch_balance(spark, sf_dir):
+    """Per batch and rank: as many rows for each, each at a place of its own, ten of each mini-batch of sixty."""
+    made = packing.balanced_batches(whole_batches(spark, sf_dir), "seqlen", 6, 240, mini_batch=60)
+    first = F.count_if(F.col("row_id") % 240 < 60).cast("int")
+    return made.groupBy("batch", "rank").agg(F.count("*").alias("rows"), F.count_distinct("place").alias("places"), first.alias("of_first"))
 
 
-@add("group_balanced_parts")
+@add("group_balanced_parts", f"{_BATCH} SELECT batch, unnest(range(4))::INTEGER AS part, n // 12 AS groups, n // 4 AS rows FROM b WHERE n = 240")
 def group_balanced_parts(spark, sf_dir):
-    df = docs(spark, sf_dir).withColumn("uid", F.floor(F.col("row_id") / 3))
-    return packing.pack_batches(df, "seqlen", 4, 510, uid="uid")
+    """Per batch and part: as many whole groups of three rows for each."""
+    df = whole_batches(spark, sf_dir).withColumn("uid", F.floor(F.col("row_id") / 3))
+    made = packing.group_balanced_batches(df, "seqlen", "uid", 4, 240)
+    return made.groupBy("batch", "part").agg(F.count_distinct(F.floor(F.col("row_id") / 3)).alias("groups"), F.count("*").alias("rows"))
 
 
 @add("imbalance", """WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT n_chars, (row_number() OVER (ORDER BY doc_id) - 1) * 8 // n AS b, doc_id % 8 AS p FROM documents, n), b AS (SELECT sum(n_chars) AS t FROM d GROUP BY b), p AS (SELECT sum(n_chars) AS t FROM d GROUP BY p)

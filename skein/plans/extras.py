@@ -106,6 +106,11 @@ def required_fields(spark, sf_dir):
     return joins.require_fields(views.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
 
 
+@add("ordered_distinct", "WITH f AS (SELECT o_custkey, min(o_orderkey) AS f FROM orders GROUP BY 1) SELECT o_custkey, row_number() OVER (ORDER BY f) - 1 AS row_id FROM f")
+def ordered_distinct(spark, sf_dir):
+    return joins.ordered_distinct(views.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
 @add("required_multiple", "SELECT 4 * 9 AS multiple, count(*) // 36 * 36 AS rows FROM documents")
 def required_multiple(spark, sf_dir):
     m = joins.least_common_multiple(4, 9, 12)
@@ -305,12 +310,13 @@ def merged_maps(spark, sf_dir):
 # --- scores and parsing
 
 
-@add("dispatched_scores", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 7 = 3 THEN 1.0 ELSE 0.0 END WHEN 1 THEN CASE WHEN o_custkey % 7 = 3 THEN 1.0 ELSE -1.0 END ELSE CASE WHEN o_custkey % 7 = 3 THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM orders")
+@add("dispatched_scores", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN CASE WHEN o_custkey % 7 = 3 THEN 1.0 ELSE -1.0 END WHEN 4 THEN round(0.1 + CASE WHEN o_custkey % 7 = 3 THEN 0.9 ELSE 0.0 END, 6) ELSE CASE WHEN o_custkey % 7 = 3 THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM orders")
 def dispatched_scores(spark, sf_dir):
-    k, n = F.col("o_orderkey") % 3, (F.col("o_custkey") % 7).cast("string")
-    source = F.when(k == 0, "openai/gsm8k").when(k == 1, "aime24").otherwise("searchR1_nq")
-    said = F.when(k == 0, F.concat(F.lit("so #### "), n)).when(k == 1, F.concat(F.lit("Answer: "), n)).otherwise(F.concat(F.lit("<answer>"), n, F.lit("</answer>")))
-    return views.table(spark, sf_dir, "orders").select("o_orderkey", scoring.dispatch(source, said, F.lit("3")).alias("score"))
+    k, n = F.col("o_orderkey") % 5, (F.col("o_custkey") % 7).cast("string")
+    source = F.when(k == 0, "openai/gsm8k").when(k == 1, "aime24").when(k == 2, "searchR1_nq").when(k == 3, "HuggingFaceH4/MATH-500").otherwise("hiyouga/geometry3k")
+    said = F.when(k == 0, F.concat(F.lit("so #### "), n)).when(k == 1, F.concat(F.lit("Answer: "), n)).when(k == 2, F.concat(F.lit("<answer>"), n, F.lit("</answer>")))
+    said = said.otherwise(F.concat(F.lit("<think>a</think> it is \\boxed{"), n, F.lit("}.")))
+    return rounded(views.table(spark, sf_dir, "orders").select("o_orderkey", scoring.dispatch(source, said, F.lit("3")).alias("score")), "score")
 
 
 @add("format_and_accuracy", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.9 * (l_returnflag = 'R')::INT + 0.1 * (l_linestatus = 'O')::INT, 6) AS score FROM lineitem")

@@ -320,3 +320,9 @@ def test_quantiles_against_numpy(spark):
     assert np.allclose([one[q] for q in shares], np.quantile(sum(values.values(), []), list(shares.values())))
     assert metrics.percentiles(df, "v").first().p50 == np.quantile(sum(values.values(), []), 0.5)
     assert quantiles(df.limit(0), "v", shares, "k").count() == 0
+
+
+def test_merged_meta():
+    assert frames.merged_meta([{"metrics": [1], "t": 0.7}, {"metrics": {"a": 2}}, {"t": 0.7}]) == {"metrics": [1, {"a": 2}], "t": 0.7}
+    with pytest.raises(ValueError, match="'t'"):
+        frames.merged_meta([{"t": 1}, {"t": 2}])
