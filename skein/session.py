@@ -44,3 +44,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a copy in the shared folder, which survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files and copies of DataFrames that nothing refers to any more.
+
+    Spark's cleaner does so after the driver's garbage collection, which a driver with little to do puts off for long.
+    """
+    spark.sparkContext._jvm.System.gc()
