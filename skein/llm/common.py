@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import checkpointed, release, shared_folder
+
+__all__ = ["by_size", "checkpointed", "crc_remainder", "mix64", "read_table", "release", "shared_folder", "shingles", "sorted_distinct", "text_bytes", "word_digests", "word_hashes"]
+
 #: A word of the text contracts: a run without ASCII white space. ``bytes.split()`` cuts at exactly these bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -28,23 +31,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's shared folder; sets one of its own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a copy in the shared folder, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def crc_remainder(doc_id: Column | str, modulus: int) -> Column:
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary")) % modulus

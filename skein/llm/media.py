@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skein.llm.common import text_bytes
+from skein.llm.common import by_size, text_bytes
 
 BLOCK_ROWS = 1024
 #: Width of the picture that a payload is stored as; payloads are padded to a multiple of it.
 PAYLOAD_WIDTH = 64
 HASH_ROWS, HASH_COLUMNS = 8, 9
+_SLICE_BYTES = 4 << 20
 
 _GAP = rb"(?:\s|#[^\r\n]*[\r\n])+"
 _NETPBM = re.compile(rb"P([1-6])" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)")
@@ -242,8 +243,7 @@ def text_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in by_size(batch, 1, _SLICE_BYTES):
                 rows = [_digest(i.as_py(), t.as_py()) for i, t in zip(part.column(0), part.column(1), strict=True)]
                 columns = zip(*rows, strict=True)
                 kinds = [pa.int64() if c == "long" else pa.string() for c in MEDIA_SCHEMA.replace(",", "").split()[1::2]]

@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from skein.llm.common import checkpointed, mix64, shingles, sorted_distinct, text_bytes, word_hashes
+from skein.llm.common import by_size, checkpointed, mix64, release, shingles, sorted_distinct, text_bytes, word_hashes
 
 COORDINATES, MATCHES = 64, 38
 SIMILARITY_PERCENT = 80
@@ -46,7 +47,7 @@ BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 500_000
 HOT_ROWS, HOT_KEYS = 20_000, 1000
 #: Ids of documents that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_IDS = 100_000
-_SLICE = 256
+_SLICE_CHARS = 1_000_000
 
 _RANDOM = np.random.default_rng(101)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,8 +85,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(start, _SLICE)
+            for part in by_size(batch, 1, _SLICE_CHARS):
                 sets = [shingle_set(t.as_py(), size) for t in part.column(1)]
                 used = np.array([len(s) > 0 for s in sets]) & np.asarray(part.column(0).is_valid())
                 kept = [s for s, u in zip(sets, used, strict=True) if u]
@@ -101,17 +101,23 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, key binary, values array<long>")
 
 
-def _with_sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, the other columns of ``nodes`` and the set of those documents, from one further pass over the texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("shuffle_hash")
+    rows = texts.join(wanted, "node")
+    kept = [c for c in rows.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(start, _SLICE)
-                sets = [shingle_set(t.as_py(), size) for t in part.column(1)]
+            for part in by_size(batch, batch.schema.get_field_index("text"), _SLICE_CHARS):
+                sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
                 ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], [*kept, "set"])
 
-    return docs.mapInArrow(run, "node long, set array<long>")
+    schema = StructType([rows.schema[c] for c in kept]).add("set", ArrayType(LongType()))
+    return checkpointed(rows.mapInArrow(run, schema))
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -235,18 +241,10 @@ def _met(lists: DataFrame) -> DataFrame:
     return checkpointed(joined.filter("hub <> node").groupBy("hub", "node").agg(F.count("*").alias("collisions")))
 
 
-def _with_partner(pairs: DataFrame, table: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
+def _with_partner(pairs: DataFrame, own: DataFrame, its: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
     """Adds ``column`` of both ends (as ``own`` and ``its``) to pairs (hub, node)."""
-    own = table.select("node", F.col(column).alias("own"))
-    its = table.select(F.col("node").alias("hub"), F.col(column).alias("its"))
-    return spread_join(pairs.join(own, "node"), its, "hub", "node", sizes)
-
-
-def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, set of the documents ``nodes``, from one further pass over the texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("shuffle_hash")
-    return checkpointed(_with_sets(texts.join(wanted, "node", "left_semi"), size))
+    left = pairs.join(own.select("node", F.col(column).alias("own")), "node")
+    return spread_join(left, its.select(F.col("node").alias("hub"), F.col(column).alias("its")), "hub", "node", sizes)
 
 
 def _in_two_components(rows: DataFrame, key: str) -> DataFrame:
@@ -262,12 +260,13 @@ def _left_open(sets: DataFrame, lists: DataFrame, found: DataFrame, percent: int
     open_lists = checkpointed(_listed(rows.select("node", "value"), _in_two_components(rows, "value")))
     if open_lists.isEmpty():
         return None
-    named = sets.join(open_lists.select("node"), "node", "left_semi").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.size("set").alias("n_set"), "set")
-    shingle_rows = named.select("node", "c", "n_set", F.explode("set").alias("shingle"))
+    known = open_lists.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named = checkpointed(sets.select("node", "set").join(known, "node"))  # read three times below
+    shingle_rows = named.select("node", "c", F.explode("set").alias("shingle"))
     shared = _in_two_components(shingle_rows, "shingle")
-    held = spread_join(shingle_rows.select("node", "n_set", "shingle"), shared.select("shingle"), "shingle", "node", shared).groupBy("node", "n_set").count()
-    able = held.filter(F.col("count") * 100 >= F.col("n_set") * percent).select("node")
-    return checkpointed(open_lists.join(named.select("node", "c", "set"), "node").join(able, "node", "left_semi"))
+    held = spread_join(shingle_rows.select("node", "shingle"), shared.select("shingle"), "shingle", "node", shared).groupBy("node").count()
+    able = named.select("node", F.size("set").alias("n_set")).join(held, "node").filter(F.col("count") * 100 >= F.col("n_set") * percent)
+    return checkpointed(named.join(able.select("node").distinct(), "node", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -279,16 +278,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY
     posted = classes.select("node", F.explode("values").alias("value"))
     counts = checkpointed(posted.groupBy("value").agg(copies).filter("n > 1"))
     lists = checkpointed(_listed(posted, counts))
-    sets = _sets_of(docs, lists.select("node"), size)
+    del posted, counts
+    release(docs.sparkSession)
     met = _met(lists)
     sizes = met.groupBy("hub").agg(copies)
     collided = F.size(F.array_intersect("own", "its")) >= MATCHES
-    close = checkpointed(_with_partner(met.select("hub", "node"), lists, "values", sizes).filter(collided).select("hub", "node"))
-    sized = _with_partner(close, sets, "set", sizes).withColumn("both", F.size(F.array_intersect("own", "its")))
+    close = checkpointed(_with_partner(met.select("hub", "node"), lists, lists, "values", sizes).filter(collided).select("hub", "node"))
+    roles = lists.select("node").join(close.select("node", F.lit(True).alias("is_close")).distinct(), "node", "left")
+    roles = roles.join(close.select(F.col("hub").alias("node"), F.lit(True).alias("is_hub")).distinct(), "node", "left")
+    sets = _sets_of(docs, checkpointed(roles), size)
+    pairs = _with_partner(close, sets.filter("is_close"), sets.filter("is_hub"), "set", close.groupBy("hub").agg(copies))
+    sized = pairs.withColumn("both", F.size(F.array_intersect("own", "its")))
     union = F.size("own") + F.size("its") - F.col("both")
-    found = components(sized.filter(F.col("both") * 100 >= union * percent).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-
+    links = checkpointed(sized.filter(F.col("both") * 100 >= union * percent).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    del met, sizes, close, roles, pairs, sized
+    release(docs.sparkSession)
+    found = components(links)
     rest = _left_open(sets, lists, found, percent)
+    del sets, lists
+    release(docs.sparkSession)
     if rest is not None:
         groups = _met(rest)
         everyone = groups.select("hub", "node").union(groups.select("hub", F.col("hub").alias("node"))).distinct()

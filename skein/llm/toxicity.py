@@ -236,8 +236,7 @@ def _term_counts(rows: DataFrame, wanted: frozenset[bytes] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in by_size(batch, 0, _SLICE_CHARS):
                 counts: Counter = Counter()
                 for text, h in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     found = {t for w in {core(w) for w in set(text_bytes(text.as_py()).split())} for t in terms_of(w)}
