@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.session import checkpointed, release, shared_folder
 
-__all__ = ["by_size", "checkpointed", "crc_remainder", "mix64", "read_table", "release", "shared_folder", "shingles", "sorted_distinct", "text_bytes", "word_digests", "word_hashes"]
+__all__ = ["by_size", "checkpointed", "crc_remainder", "mix64", "read_table", "release", "shared_folder", "shingles", "small_batches", "sorted_distinct", "text_bytes", "trim", "word_digests", "word_hashes"]
 
 #: A word of the text contracts: a run without ASCII white space. ``bytes.split()`` cuts at exactly these bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,6 +26,8 @@ LETTERS_DIGITS = bytes(
 )
 
 _CACHE_WORDS = 100_000
+#: Bytes of a batch that Spark hands to a Python worker, where a pass over texts is run at once.
+BATCH_BYTES = 8 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +44,25 @@ def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a Python worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, batches of ``BATCH_BYTES`` go to Python workers, for eager passes over whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_size(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, each of one row or of at most ``most`` bytes in the string column ``at``."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).tolist()
@@ -51,6 +74,7 @@ def by_size(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatc
         size += own
     if start < len(sizes):
         yield batch.slice(start)
+    trim()
 
 
 class _WordHashes(dict):

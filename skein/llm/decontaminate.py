@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LETTERS_DIGITS, mix64, text_bytes
+from skein.llm.common import LETTERS_DIGITS, by_size, mix64, text_bytes
 
 BLOCK_WORDS = 1_000_000
 SHORT_WORDS = 8
@@ -344,19 +344,6 @@ def _blocks(benchmark: DataFrame, max_rate: float) -> Iterator[Index]:
         yield Index(block, max_rate)
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Parts of a batch, each of one text or of bounded size."""
-    texts = batch.column(at).to_pylist()
-    start = size = 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text or "") > _SLICE_CHARS:
-            yield batch.slice(start, k - start), texts[start:k]
-            start, size = k, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
-
-
 HITS_SCHEMA = "doc_id long, item_id long, distance int, item_words int, start_word long"
 
 
@@ -372,9 +359,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = sent.value
             for batch in batches:
-                for part, texts in _slices(batch, 1):
+                for part in by_size(batch, 1, _SLICE_CHARS):
                     ids = part.column(0).to_pylist()
-                    rows = [(ids[d], known.ids[k], e, len(known.items[k]), w) for d, k, e, w in known.find(texts)]
+                    rows = [(ids[d], known.ids[k], e, len(known.items[k]), w) for d, k, e, w in known.find(part.column(1).to_pylist())]
                     columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -393,9 +380,9 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, max_rate: float = M
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, texts in _slices(batch, at):
+                for part in by_size(batch, at, _SLICE_CHARS):
                     clean = np.ones(part.num_rows, bool)
-                    clean[[d for d, *_ in sent.value.find(texts)]] = False
+                    clean[[d for d, *_ in sent.value.find(part.column(at).to_pylist())]] = False
                     yield part.filter(pa.array(clean))
 
         return kept.mapInArrow(run, kept.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from skein.llm.common import by_size, checkpointed, mix64, release, shingles, sorted_distinct, text_bytes, word_hashes
+from skein.llm.common import by_size, checkpointed, mix64, release, shingles, small_batches, sorted_distinct, text_bytes, trim, word_hashes
 
 COORDINATES, MATCHES = 64, 38
 SIMILARITY_PERCENT = 80
@@ -117,7 +117,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], [*kept, "set"])
 
     schema = StructType([rows.schema[c] for c in kept]).add("set", ArrayType(LongType()))
-    return checkpointed(rows.mapInArrow(run, schema))
+    with small_batches(docs.sparkSession):
+        return checkpointed(rows.mapInArrow(run, schema))
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -185,6 +186,7 @@ def _across_components(members: DataFrame, percent: int) -> DataFrame:
     )
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         own, node, c = (table.column(x).to_numpy() for x in ("own", "node", "c"))
         low, high = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
@@ -271,7 +273,8 @@ def _left_open(sets: DataFrame, lists: DataFrame, found: DataFrame, percent: int
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    signed = checkpointed(_signed(docs, size))
+    with small_batches(docs.sparkSession):
+        signed = checkpointed(_signed(docs, size))
     copies = F.count("*").alias("n")
     classes = checkpointed(signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("values").alias("values"), copies))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import mix64, sorted_distinct, text_bytes, word_digests
+from skein.llm.common import mix64, sorted_distinct, text_bytes, trim, word_digests
 
 WINDOW = 13
 CHUNK_BYTES = 12 << 20
@@ -136,6 +136,7 @@ def _bits(data: bytes, n: int) -> np.ndarray:
 
 
 def _chunk_of(table: pa.Table, window: int, blocks: int) -> Chunk:
+    trim()
     ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
     return Chunk([ids[k] for k in order], [texts[k] for k in order], window, blocks)
