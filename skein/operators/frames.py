@@ -110,10 +110,11 @@ def merged_meta(metas: list[dict]) -> dict:
     return out
 
 
-def chunk_number(df: DataFrame, chunks: int) -> DataFrame:
-    """Adds ``chunk``: equal chunks in order; raises unless the rows divide."""
+def chunk_number(df: DataFrame, chunks: int, rest: bool = False) -> DataFrame:
+    """Adds ``chunk``: equal chunks in order; raises unless the rows divide. With ``rest`` rows left over are numbered on
+    in chunks of that size, and only fewer rows than chunks raise."""
     n = size_of(df)
-    if n % chunks:
+    if n % chunks and (n < chunks or not rest):
         raise ValueError(f"{n} rows do not make {chunks} equal chunks")
     return df.withColumn("chunk", F.floor(F.col(ROW) / max(n // chunks, 1)).cast("long"))
 

@@ -49,7 +49,7 @@ def concat_batches(spark, sf_dir):
 
 @add("chunk_rows", f"{D} SELECT row_id, row_id // ((SELECT count(*) FROM d) // 4) AS chunk FROM d")
 def chunk_rows(spark, sf_dir):
-    return frames.chunk_number(docs(spark, sf_dir), 4).select("row_id", "chunk")
+    return frames.chunk_number(docs(spark, sf_dir), 4, rest=True).select("row_id", "chunk")
 
 
 @add("split_and_batches", f"{D} SELECT row_id, row_id // 48 AS batch FROM d WHERE row_id // 48 < (SELECT count(*) FROM d) // 48")

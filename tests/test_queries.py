@@ -53,3 +53,13 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("n", [0, 6, 11])
+def test_chunks_with_a_rest(spark, duck, tmp_path, n):
+    duck.execute(f"COPY (FROM documents WHERE doc_id < {n}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet'")
+    want = own.execute(entry.oracle_sql()["chunk_rows"]).fetchall()
+    got = entry.queries()["chunk_rows"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == n
