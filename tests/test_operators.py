@@ -1,6 +1,7 @@
 """Golden cases, conservation laws and numpy cross-checks of the operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,43 @@ def test_bootstrap_starts_anew():
     assert got["maj@2/mean"] == pytest.approx(first.mean())
 
 
+def _each_draw(values, codes, size):
+    """The definition: every resample of one group by itself."""
+    drawn = np.random.RandomState(42).choice(len(values), size=(1000, size), replace=True)
+    maj = [values[d[max(range(size), key=lambda k: (int((codes[d] == codes[d[k]]).sum()), -k))]] for d in drawn]
+    return {"best": values[drawn].max(1), "worst": values[drawn].min(1), "maj": np.array(maj)}
+
+
+@pytest.mark.parametrize("n", [1, 4, 11, 70])
+def test_groups_of_one_length_share_their_draws(monkeypatch, n):
+    rng, made = np.random.default_rng(n), []
+    values, codes = rng.choice([1.0, 0.0, -0.2, 0.7], (300 if n < 70 else 2, n)), rng.integers(0, 4, (300 if n < 70 else 2, n))
+    values[1, 0] = np.nan
+    real = np.random.RandomState
+    monkeypatch.setattr(metrics, "MOST_DRAWS", 9000)  # large groups go on in the same stream
+    monkeypatch.setattr(np.random, "RandomState", lambda seed: made.append(seed) or real(seed))
+    got = dict(metrics.bootstrap_groups(values, codes))
+    assert len(made) <= 2 * len(metrics.subset_sizes(n))  # shared, and one with a NaN by itself; not a group each
+    for g in (0, 1, len(values) - 1):
+        for size in metrics.subset_sizes(n):
+            for name, want in _each_draw(values[g], codes[g], size).items():
+                assert got[f"{name}@{size}/mean"][g] == pytest.approx(want.mean(), abs=1e-12, nan_ok=True)
+                assert got[f"{name}@{size}/std"][g] == pytest.approx(want.std(), abs=1e-12, nan_ok=True)
+
+
+def test_validation_is_the_mean_over_prompts(spark):
+    rng = np.random.default_rng(5)
+    data = [(f"s{u % 2}" if u % 5 else None, None if u == 3 else u, i, float(rng.choice([1.0, 0.0, -0.2])), None if i % 4 == 1 else f"p{u * i % 3}") for u in range(40) for i in rng.permutation(1 + u % 6).tolist()]
+    df = spark.createDataFrame(data, "data_source string, uid long, row_id long, score double, pred string")
+    want = {}
+    for (source, _), group in pd.DataFrame(data).groupby([0, 1], dropna=False):
+        group = group.sort_values(2)
+        for metric, value in metrics.bootstrap_group(group[3].to_numpy(), group[4].to_numpy()):
+            want.setdefault((None if pd.isna(source) else source, metric), []).append(value)
+    got = {(r.source, r.metric): r.value for r in metrics.validation_metrics(df).collect()}
+    assert got.keys() == want.keys() and all(v == pytest.approx(np.mean(want[k]), abs=1e-12) for k, v in got.items())
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(i, i * 10) for i in range(7)], "row_id long, v long")
     assert rows(frames.slice_rows(df, -3), "row_id", "v") == [(0, 40), (1, 50), (2, 60)]
