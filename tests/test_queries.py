@@ -1,12 +1,17 @@
 """Every registered query that has SQL gives DuckDB's rows on the small tables."""
 
 import os
+import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+from skein import views
+from skein.operators import estimators, sequences
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,3 +68,66 @@ def test_chunks_with_a_rest(spark, duck, tmp_path, n):
     want = own.execute(entry.oracle_sql()["chunk_rows"]).fetchall()
     got = entry.queries()["chunk_rows"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(got) == n
+
+
+def exchanges(df):
+    """What the exchanges of the plan deal by, from the top."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [re.sub(r"#\d+L?", "", x) for line in lines for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", line)]
+
+
+def test_tokens_of_some_orders_are_dealt_once(spark):
+    some = views.tokens(spark, SF, F.col("l_orderkey") % 500 < 100)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("Filter")  # the filter is below
+    whole = views.tokens(spark, SF).filter("uid < 100")
+    assert some.exceptAll(whole).isEmpty() and whole.exceptAll(some).isEmpty() and not some.isEmpty()
+    assert exchanges(some.groupBy("traj").count()) == exchanges(some.groupBy("traj", "pos").count()) == ["traj"]
+
+
+def test_optimal_baseline_deals_tokens_once_more(spark):
+    tokens = views.tokens(spark, SF).repartition(4, "traj")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for compact in (False, True):
+            made = exchanges(sequences.optimal_token_baseline(tokens, compact=compact).select("traj", "pos", "advantage"))
+            assert made[0] == "uid, __p" and "uid, traj" not in made[:2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_optimal_baseline_of_masked_trajectories(spark):
+    data = [(u, 10 * u + t, p, float(u + t + p), -0.1 * (p + 1), int(t > 0 and (p + t) % 3 > 0)) for u in range(3) for t in range(u + 1) for p in range(4 + t)]
+    df = spark.createDataFrame(data, "uid long, traj long, pos long, reward double, old_lp double, mask int")
+    for compact in (False, True):
+        got = {(r.traj, r.pos): r.advantage for r in sequences.optimal_token_baseline(df, compact=compact).collect()}
+        frame = pd.DataFrame(data, columns=["uid", "traj", "pos", "reward", "lp", "mask"])
+        per = frame.groupby("traj", group_keys=False)
+        frame["ret"] = per.apply(lambda g: (g.reward * g["mask"])[::-1].cumsum()[::-1], include_groups=False)
+        frame["w"] = per.apply(lambda g: ((1 - 2 * np.exp(g.lp)) * g["mask"]).cumsum(), include_groups=False)
+        frame["p"] = per["mask"].cumsum() - 1 if compact else frame.pos
+        frame["len"] = per["mask"].transform("sum")
+        assert len(got) == len(frame)
+        for r in frame.itertuples():
+            group = frame[frame.uid == r.uid]
+            lengths = group.groupby("traj")["len"].first()
+            lengths = sorted(lengths[lengths > 0] if compact else lengths, reverse=True)
+            at = group[group.p == r.p]
+            base = (at.ret * at.w * at["mask"]).sum() / ((at.w * at["mask"]).sum() + 1e-8)
+            if len(lengths) <= 1 or compact and not r.len or r.len == lengths[0] > lengths[1] <= r.p:
+                base = 0.0
+            assert got[(r.traj, r.pos)] == pytest.approx((r.ret - base) * r.mask, abs=1e-9)
+
+
+def test_estimators_that_disagree_are_counted(spark, monkeypatch):
+    whole = estimators.REGISTRY["rloo"]
+    bad = {
+        "lost": lambda tokens, **_: whole(tokens).filter("pos > 0"), "moved": lambda tokens, **_: whole(tokens).withColumn("pos", F.col("pos") + 1),
+        "unmasked": lambda tokens, **_: tokens.withColumn("advantage", F.lit(1.0)), "whole": whole,
+    }
+    monkeypatch.setattr(estimators, "REGISTRY", bad)
+    got = {r.name: (r.tokens, r.masked) for r in entry.queries()["estimators_agree"](spark, SF).collect()}
+    tokens = views.tokens(spark, SF).filter("uid < 100")
+    n, first = tokens.count(), tokens.filter("pos = 0").count()
+    assert got["whole"] == (n, 0) and got["lost"] == (n - first, 0) and got["moved"][0] == n - first
+    assert got["unmasked"] == (n, tokens.filter("mask = 0").count()) and got["unmasked"][1] > 0
