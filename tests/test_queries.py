@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 from skein import views
-from skein.operators import estimators, sequences
+from skein.operators import estimators, groups, sequences
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -131,3 +131,57 @@ def test_estimators_that_disagree_are_counted(spark, monkeypatch):
     n, first = tokens.count(), tokens.filter("pos = 0").count()
     assert got["whole"] == (n, 0) and got["lost"] == (n - first, 0) and got["moved"][0] == n - first
     assert got["unmasked"] == (n, tokens.filter("mask = 0").count()) and got["unmasked"][1] > 0
+
+
+def test_estimators_agree_on_all_orders(spark, tmp_path, monkeypatch):
+    """Prompts above 99, a prompt whose tokens are all masked, and a line without an order, which is no token."""
+    rows = [(k, k, 1, n, 10.0 + n, (k + n) % 7 / 100, n / 100, "R" if k % 500 == 499 else "N") for k in (3, 503, 99, 599, 100, 600, 499, 999) for n in range(1, 4)]
+    rows.append((None, 1, 1, 1, 1.0, 0.1, 0.1, "N"))
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    whole = estimators.REGISTRY["rloo"]
+    some = {n: estimators.REGISTRY[n] for n in ("opo", "optimal_token_baseline", "reinforce_plus_plus")} | {"rloo": lambda tokens, **_: whole(tokens.filter("uid < 100"))}
+    monkeypatch.setattr(estimators, "REGISTRY", some)
+    got = {r.name: (r.tokens, r.masked) for r in entry.queries()["estimators_agree"](spark, str(tmp_path)).collect()}
+    want = {n: (t, m) for n, t, m in own.execute(entry.oracle_sql()["estimators_agree"]).fetchall() if n in some}
+    assert want["opo"] == (24, 0) and want == got | {"rloo": (24, 0)} and got["rloo"] == (12, 0)
+
+
+def test_estimators_read_tokens_that_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(estimators, "REGISTRY", {n: estimators.REGISTRY[n] for n in ("reinforce_plus_plus", "remax", "rloo", "tir_optimal_token_baseline")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = exchanges(entry.queries()["estimators_agree"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "traj, pos" not in dealt and "uid, traj" not in dealt
+    assert dealt.count("traj") == 2  # what Python returned, and the advantages of trajectories
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_few_baselines_are_sent(spark):
+    tokens = views.tokens(spark, SF).repartition(4, "traj")
+    for compact in (False, True):
+        sent, joined = (sequences.optimal_token_baseline(tokens, compact=compact, few=few).select("traj", "pos", F.round("advantage", 9).alias("a")) for few in (True, False))
+        assert sent.exceptAll(joined).isEmpty() and joined.exceptAll(sent).isEmpty() and sent.count() == tokens.count()
+
+
+def test_opo_of_a_group_without_length(spark):
+    df = spark.createDataFrame([(1, 1.0, 0), (1, 3.0, 0), (2, 1.0, 1), (2, 4.0, 2)], "uid int, score double, length int")
+    assert sorted(r.advantage for r in groups.estimate("opo", df).collect()) == [-2.0, 1.0, 1.0, 3.0]
+
+
+def test_estimators_that_disagree_on_any_order_are_counted(spark, monkeypatch):
+    whole = estimators.REGISTRY["rloo"]
+    bad = {
+        "lost": lambda tokens, **_: whole(tokens).filter("pos > 0"), "moved": lambda tokens, **_: whole(tokens).withColumn("pos", F.col("pos") + 1),
+        "unmasked": lambda tokens, **_: tokens.withColumn("advantage", F.lit(1.0)), "whole": whole,
+    }
+    monkeypatch.setattr(estimators, "REGISTRY", bad)
+    got = {r.name: (r.tokens, r.masked) for r in entry.queries()["estimators_agree"](spark, SF).collect()}
+    tokens = views.tokens(spark, SF)
+    n, first, masked = tokens.count(), tokens.filter("pos = 0").count(), tokens.filter("mask = 0").count()
+    assert got["whole"] == (n, 0) and got["lost"] == (n - first, 0) and got["moved"][0] == n - first
+    assert got["unmasked"] == (n, masked) and masked > 0
