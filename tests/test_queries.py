@@ -12,6 +12,8 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 from skein import views
 from skein.operators import estimators, groups, sequences
+from skein.plans import extras
+from skein.session import checkpointed
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -149,16 +151,17 @@ def test_estimators_agree_on_all_orders(spark, tmp_path, monkeypatch):
     assert want["opo"] == (24, 0) and want == got | {"rloo": (24, 0)} and got["rloo"] == (12, 0)
 
 
-def test_estimators_read_tokens_that_are_dealt_once(spark, monkeypatch):
-    monkeypatch.setattr(estimators, "REGISTRY", {n: estimators.REGISTRY[n] for n in ("reinforce_plus_plus", "remax", "rloo", "tir_optimal_token_baseline")})
+def test_estimators_read_tokens_that_are_dealt_once(spark):
+    tokens = checkpointed(views.tokens(spark, SF, parts=4), dealt=True)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        dealt = exchanges(entry.queries()["estimators_agree"](spark, SF))
+        dealt = {n: exchanges(extras.agreement(n, tokens, 4)) for n in ("reinforce_plus_plus", "rloo")}
+        dealt["tir"] = exchanges(extras.agreement("tir_optimal_token_baseline", tokens, 4, few=True))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "traj, pos" not in dealt and "uid, traj" not in dealt
-    assert dealt.count("traj") == 2  # what Python returned, and the advantages of trajectories
-    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert dealt["reinforce_plus_plus"] == ["traj"] and dealt["rloo"] == ["traj", "uid"]  # what Python returned; advantages of trajectories
+    assert not {"traj", "traj, pos", "uid, traj"} & set(dealt["tir"])
 
 
 def test_few_baselines_are_sent(spark):
